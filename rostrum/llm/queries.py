@@ -15,4 +15,29 @@ def op3_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_lpt_sharding": op3_lpt_sharding}
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import convert_pages
+
+    return convert_pages(spark, table(spark, sf_dir, "pages"))
+
+
+def op7_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokens import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_digest
+
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_lpt_sharding": op3_lpt_sharding,
+    "op6_arc_to_warc": op6_arc_to_warc,
+    "op7_rans_token_ids": op7_rans_token_ids,
+    "op8_markov_secrets": op8_markov_secrets,
+}
