@@ -18,7 +18,7 @@ LANES = 2048
 CHECKPOINT_ROWS = 256
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
-HEAD = struct.Struct("<4sIQIIIIIII")  # magic, docs, tokens, lanes, rows, words, checkpoints, bytes of the document list, crc of ids, crc of the rest
+HEAD = "<4sIQIIIIIII"  # magic, docs, tokens, lanes, rows, words, checkpoints, bytes of the document list, crc of ids, crc of the rest
 MAGIC = b"RANB"
 
 
@@ -102,13 +102,13 @@ def encode(ids: np.ndarray, table: Table, doc_list: bytes, n_docs: int) -> bytes
     points = b"".join(struct.pack("<II", row, written - w) + s.astype("<u8").tobytes() for row, w, s in reversed(marks))
     rest = doc_list + x.astype("<u8").tobytes() + points + stream.astype("<u4").tobytes()
     crc = zlib.crc32(ids.astype("<u4").tobytes())
-    return HEAD.pack(MAGIC, n_docs, n, lanes, rows, written, len(marks), len(doc_list), crc, zlib.crc32(rest)) + rest
+    return struct.pack(HEAD, MAGIC, n_docs, n, lanes, rows, written, len(marks), len(doc_list), crc, zlib.crc32(rest)) + rest
 
 
 def parts(block: bytes):
     """(header fields, document list, [(row, word, states)], words) of a block; checks its bytes."""
-    magic, docs, n, lanes, rows, words, marks, listed, crc, rest_crc = HEAD.unpack_from(block)
-    rest = memoryview(block)[HEAD.size :]
+    magic, docs, n, lanes, rows, words, marks, listed, crc, rest_crc = struct.unpack_from(HEAD, block)
+    rest = memoryview(block)[struct.calcsize(HEAD) :]
     if magic != MAGIC or zlib.crc32(rest) != rest_crc:
         raise ValueError("damaged block")
     at = listed
