@@ -35,9 +35,16 @@ def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op3_lpt_sharding": op3_lpt_sharding,
     "op6_arc_to_warc": op6_arc_to_warc,
     "op7_rans_token_ids": op7_rans_token_ids,
     "op8_markov_secrets": op8_markov_secrets,
+    "op10_positional_decontamination": op10_positional_decontamination,
 }
