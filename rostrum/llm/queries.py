@@ -9,6 +9,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op3_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -42,6 +48,7 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 QUERIES = {
+    "op1_rank_order_language": op1_rank_order_language,
     "op3_lpt_sharding": op3_lpt_sharding,
     "op6_arc_to_warc": op6_arc_to_warc,
     "op7_rans_token_ids": op7_rans_token_ids,
