@@ -21,6 +21,12 @@ def op3_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_odd_sketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import convert_pages
 
@@ -50,6 +56,7 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 QUERIES = {
     "op1_rank_order_language": op1_rank_order_language,
     "op3_lpt_sharding": op3_lpt_sharding,
+    "op5_odd_sketch_near_duplicates": op5_odd_sketch_near_duplicates,
     "op6_arc_to_warc": op6_arc_to_warc,
     "op7_rans_token_ids": op7_rans_token_ids,
     "op8_markov_secrets": op8_markov_secrets,
