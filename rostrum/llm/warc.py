@@ -111,7 +111,7 @@ def warc_date(arc_date: str) -> str:
 
 def record_id(archive: str, ordinal: int) -> str:
     """A WARC identifier that depends only on the record's place, so reruns give the same."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}#{ordinal}')}>"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive.rsplit("/", 1)[-1]}#{ordinal}')}>"
 
 
 def warc_record(kind: str, headers: dict, block: bytes) -> bytes:
@@ -235,8 +235,8 @@ def convert_arc(archives: DataFrame, folder: str, revisit_min_bytes: int = 0) ->
                 out.write(member(warc_record(kind, headers | {"WARC-Block-Digest": "sha1:" + base32_sha1(body)}, body)))
         return pd.DataFrame({"archive": [f"{folder}/{name}"]})
 
-    done = saved(plan.groupBy("archive").applyInPandas(convert, "archive string"), "warc-list")
-    return done
+    # an explicit count of partitions: archives are large although their plan rows are few
+    return saved(spread(plan).groupBy("archive").applyInPandas(convert, "archive string"), "warc-list")
 
 
 RECORDS = "archive string, record_id string, record_type string, url string, date string, location string, payload_bytes long, payload_digest string, refers_to string, refers_location string"
