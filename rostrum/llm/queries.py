@@ -47,6 +47,12 @@ def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_elias_fano_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -60,5 +66,6 @@ QUERIES = {
     "op6_arc_to_warc": op6_arc_to_warc,
     "op7_rans_token_ids": op7_rans_token_ids,
     "op8_markov_secrets": op8_markov_secrets,
+    "op9_elias_fano_scores": op9_elias_fano_scores,
     "op10_positional_decontamination": op10_positional_decontamination,
 }
