@@ -15,6 +15,12 @@ def op1_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_pruned_graph_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_embeddings
+
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op3_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -61,6 +67,7 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 QUERIES = {
     "op1_rank_order_language": op1_rank_order_language,
+    "op2_pruned_graph_embeddings": op2_pruned_graph_embeddings,
     "op3_lpt_sharding": op3_lpt_sharding,
     "op5_odd_sketch_near_duplicates": op5_odd_sketch_near_duplicates,
     "op6_arc_to_warc": op6_arc_to_warc,
