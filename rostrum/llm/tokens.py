@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,8 @@ from .common import AtomicFile, filesystem, read_bytes, saved, scratch
 
 BLOCK_TOKENS = 1 << 20
 CACHE_UNITS = 500_000
-DOCS_AT_ONCE = 256
+DOCS_AT_ONCE = 512
+SEPARATOR = "\x0b"
 
 
 class Encoder:
@@ -33,38 +35,57 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids[0]
 
     @staticmethod
     def ragged(unit: str) -> bool:
         return not unit or unit[0].isspace() or unit[-1].isspace()
 
-    def units(self, text: str) -> list[str]:
-        """Units without their leading space; all but the first have one."""
-        out = text.split(" ")
-        if any(self.ragged(u) for u in out if u not in self.cache):
-            merged = [out[0]]
-            for u in out[1:]:
-                if not merged[-1] or merged[-1][-1].isspace() or not u or u[0].isspace():
-                    merged[-1] += " " + u
-                else:
-                    merged.append(u)
-            return merged
+    def merged(self, units: list[str]) -> list[str]:
+        """Units joined again wherever the space between them is not a sure cut."""
+        out = [units[0]]
+        for u in units[1:]:
+            if not out[-1] or out[-1][-1].isspace() or not u or u[0].isspace():
+                out[-1] += " " + u
+            else:
+                out.append(u)
         return out
 
     def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each text. Those that neither start nor end in white space (but one space before)
+        and hold no SEPARATOR are encoded as one text with SEPARATOR between them, which is one id."""
+        joined = [i for i, t in enumerate(texts) if SEPARATOR not in t and t not in ("", " ") and not t[-1].isspace() and not t[t[0] == " "].isspace()]
+        out: list[bytes] = [b""] * len(texts)
+        alone = sorted(set(range(len(texts))) - set(joined))
+        for at in range(0, len(joined), 20_000):
+            part = joined[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([SEPARATOR.join([texts[i] for i in part])], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.separator)
+            if len(cuts) != len(part) - 1:
+                alone += part
+                continue
+            raw = ids.tobytes()
+            for i, a, b in zip(part, [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
+                out[i] = raw[a:b]
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
         cache = self.cache
-        split = [self.units(t) for t in texts]
-        missing = {u for s in split for u in s[1:] if u not in cache}
-        missing = list(missing)
+        split = [t.split(" ") for t in texts]
+        fresh = set(chain.from_iterable(split)).difference(cache)
+        ragged = {u for u in fresh if self.ragged(u)}
+        if ragged:
+            split = [s if ragged.isdisjoint(s) else self.merged(s) for s in split]
+            fresh = set(chain.from_iterable(s[1:] for s in split)).difference(cache)
+        fresh = list(fresh)
         # A ragged unit is part of one text only and must not be taken for a cut elsewhere.
-        own = dict(zip(missing, self.plain([" " + u for u in missing]), strict=True))
-        cache.update((u, b) for u, b in own.items() if not self.ragged(u))
+        own = dict(zip(fresh, self.plain([" " + u for u in fresh]), strict=True))
+        cache.update(own if not ragged else ((u, b) for u, b in own.items() if not self.ragged(u)))
         heads = self.plain([s[0] for s in split])
         out = []
         for head, s in zip(heads, split, strict=True):
