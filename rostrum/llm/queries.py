@@ -27,6 +27,12 @@ def op3_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_documents
+
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_odd_sketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op1_rank_order_language": op1_rank_order_language,
     "op2_pruned_graph_embeddings": op2_pruned_graph_embeddings,
     "op3_lpt_sharding": op3_lpt_sharding,
+    "op4_hierarchical_mixing": op4_hierarchical_mixing,
     "op5_odd_sketch_near_duplicates": op5_odd_sketch_near_duplicates,
     "op6_arc_to_warc": op6_arc_to_warc,
     "op7_rans_token_ids": op7_rans_token_ids,
