@@ -7,7 +7,7 @@ and the rest are confirmed on full sets.
 
 Links are needed only as far as they join components. So a bucket's members meet a few hubs, not
 each other; members that fail against the hubs meet others in later rounds; and what is left
-between different components of a bucket is tested pair by pair at the end, which loses no link.
+between different parts of a bucket is tested pair by pair at the end, which loses no link.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from .shingles import Hasher, mix, stream
 SKETCH_BITS = 1024
 SKETCH_SLACK = 0.08
 MISS = 1e-6
-HUB_ROUNDS = 8
+HUB_ROUNDS = 4
+HUBS = 8
 #: Rows of 8-byte keys that a broadcast of candidate documents may have; more are joined by shuffle.
 BROADCAST_ROWS = 4_000_000
 
@@ -143,6 +144,24 @@ def ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def joined_parts(found: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """(node, part): a node takes the smallest part of those it links with, then that part's own part.
+
+    Nodes of one part are linked; linked nodes may still have different parts, which costs a test
+    more but loses nothing. Whole components are made once, at the end.
+    """
+    both = found.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    seen = both.withColumn("part", F.col("other"))
+    if parts is not None:
+        seen = both.join(parts.withColumnRenamed("node", "other"), "other", "left").withColumn("part", F.coalesce("part", "other"))
+    least = seen.groupBy("node").agg(F.least(F.min("part"), F.col("node")).alias("part"))
+    if parts is not None:
+        least = parts.unionByName(least).groupBy("node").agg(F.min("part").alias("part"))
+    least = saved(least, "parts")
+    ahead = least.select(F.col("node").alias("part"), F.col("part").alias("next"))
+    return saved(least.join(ahead, "part", "left").select("node", F.coalesce("next", "part").alias("part")), "parts")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs` (doc_id, text).
 
@@ -173,7 +192,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     for step in range(HUB_ROUNDS + 1):
         members = buckets.withColumn("part", F.col("node"))
         if parts is not None:
-            members = buckets.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+            members = buckets.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
         by_part = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
         open_keys = by_part.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
         open_keys = saved(open_keys.select("key", "m", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("cross")), "open-buckets")
@@ -186,18 +205,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             other = live.select("key", F.col("node").alias("other"), F.col("part").alias("other_part"))
             pairs = live.join(other, "key").filter("part <> other_part and node < other").select(*ordered(F.col("node"), F.col("other")))
         else:
-            pick = F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "part") if step else F.struct(F.lit(0).alias("h"), "node", "part")
-            hubs = live.groupBy("key").agg(F.min(pick).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.part").alias("hub_part"))
+            # the first node, then HUBS others in an order that differs by round
+            picks = [F.struct(F.xxhash64("node", F.lit(100 * step + i)).alias("h"), "node", "part") for i in range(HUBS)] if step else [F.struct("node", "part")]
+            hubs = live.groupBy("key").agg(F.array_distinct(F.array(*[F.struct(F.min(p)["node"].alias("node"), F.min(p)["part"].alias("part")) for p in picks])).alias("hubs"))
+            hubs = hubs.select("key", F.explode("hubs").alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.part").alias("hub_part"))
             pairs = live.join(hubs, "key").filter("part <> hub_part").select(*ordered(F.col("node"), F.col("hub")))
         found = saved(confirmed(pairs.distinct(), sketches, sets, percent, samples), "links")
         links = found if links is None else links.unionByName(found)
-        parts = components(links)
         if last:
             break
+        parts = joined_parts(found, parts)
+    parts = None if links is None else components(links).withColumnRenamed("component", "part")
 
     named = nodes.select("same", "first", "node")
     if parts is not None:
-        named = named.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = named.join(parts, "node", "left").withColumn("component", F.coalesce("part", "node")).drop("part")
     else:
         named = named.withColumn("component", F.col("node"))
     heads = nodes.select(F.col("node").alias("component"), F.col("first").alias("head"))
