@@ -25,8 +25,9 @@ RUN = r"[A-Za-z0-9+/_=-]{20,}"
 SAMPLE_DOCUMENTS = 2000
 RANDOM_STRINGS = 3000
 SMOOTHING = 0.5
+PRIOR = 5.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-THRESHOLD = 1.2
+THRESHOLD = 3.0
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -87,11 +88,14 @@ def fit(labelled: DataFrame) -> list[float]:
     place = F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i")
     pairs = labelled.filter(F.length("s") > 1).select("random", "s", place).select("random", F.expr("substring(s, i, 2)").alias("pair"))
     counts = {(r["random"], r["pair"]): r["n"] for r in pairs.groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}
+    single = {c: {b: SMOOTHING + sum(counts.get((c, a + b), 0) for a in ALPHABET) for b in ALPHABET} for c in (False, True)}
+    size = {c: sum(single[c].values()) for c in single}
     table = [0.0] * (128 * 128)
     for a in ALPHABET:
-        total = {c: sum(counts.get((c, a + b), 0) for b in ALPHABET) + SMOOTHING * len(ALPHABET) for c in (False, True)}
+        total = {c: sum(counts.get((c, a + b), 0) for b in ALPHABET) + PRIOR for c in (False, True)}
         for b in ALPHABET:
-            chance = {c: (counts.get((c, a + b), 0) + SMOOTHING) / total[c] for c in (False, True)}
+            # a character after one seldom seen falls back on how common it is at all
+            chance = {c: (counts.get((c, a + b), 0) + PRIOR * single[c][b] / size[c]) / total[c] for c in (False, True)}
             table[128 * ord(a) + ord(b)] = round(math.log(chance[True] / chance[False]), 4)
     return table
 
