@@ -63,7 +63,8 @@ def samples(docs: DataFrame, text: str, key: str) -> DataFrame:
     """Labelled strings (random boolean, string) to train on.
 
     Random: RANDOM_STRINGS digests written in hex, base64, its URL form and capitals. Ordinary:
-    token runs outside all base spans in the SAMPLE_DOCUMENTS rows with the smallest hash of key.
+    token runs outside all base spans in the SAMPLE_DOCUMENTS rows with the smallest hash of key,
+    but for long ones that mix digits and letters.
     """
     spark = docs.sparkSession
     rank = F.xxhash64(key)
@@ -73,6 +74,7 @@ def samples(docs: DataFrame, text: str, key: str) -> DataFrame:
     for pattern in (ASSIGN, ACCESS, HEX):
         chosen = chosen.select(F.regexp_replace("t", pattern, " ").alias("t"))
     ordinary = chosen.select(F.lit(False).alias("random"), F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("s"))
+    ordinary = ordinary.filter(~(F.col("s").rlike(RUN) & F.col("s").rlike("[0-9]") & F.col("s").rlike("[A-Za-z]")))
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.base64(F.unhex(digest))
     forms = [digest, F.substring(digest, 1, 40), base64, F.translate(base64, "+/=", "-_"), F.upper(F.translate(base64, "+/=", "aZ7"))]
