@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normalise(text: Column, unicode: bool = False) -> Column:
@@ -57,7 +58,7 @@ def keyword_context(df: DataFrame, key: str, terms: list[str], text: str = "text
 APOSTROPHES = "‘’ʼ`´"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(names: pd.Series) -> pd.Series:
     """Upper case without accents; curly apostrophes become plain. No built-in decomposes characters."""
     table = str.maketrans(dict.fromkeys(APOSTROPHES, "'"))
@@ -88,7 +89,7 @@ def first_json(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extract_json(texts: pd.Series) -> pd.Series:
     """first_json of each text; balanced braces are beyond regular expressions."""
     return texts.map(first_json, na_action="ignore")
