@@ -5,9 +5,10 @@ into an odd sketch: a bitmap in which each sample flips one bit. The population
 sketches' XOR estimates a high similarity closely; pairs far below the threshold are dropped by it
 and the rest are confirmed on full sets.
 
-Links are needed only as far as they join components. So a bucket's members meet a few hubs, not
-each other; members that fail against the hubs meet others in later rounds; and what is left
-between different parts of a bucket is tested pair by pair at the end, which loses no link.
+Links are needed only as far as they join components. So a bucket's members first meet its first
+node. Where some of three or more stay apart, pairs between different parts are tested: as rows in
+small buckets, and by blocks of members in larger ones, so that a large group of near copies makes
+no row for each pair. No link between different parts is lost.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from .shingles import Hasher, mix, stream
 SKETCH_BITS = 1024
 SKETCH_SLACK = 0.08
 MISS = 1e-6
-HUB_ROUNDS = 4
-HUBS = 8
+SMALL_BUCKET = 6
+BLOCK_NODES = 512
+BLOCK_BYTES = 4 << 20
+COLUMNS = 4096
 #: Rows of 8-byte keys that a broadcast of candidate documents may have; more are joined by shuffle.
 BROADCAST_ROWS = 4_000_000
 
@@ -140,28 +143,84 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: i
     return both.mapInArrow(run, "a long, b long")
 
 
-def ordered(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def joined_parts(found: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """(node, part): a node takes the smallest part of those it links with, then that part's own part.
+def joined_parts(found: DataFrame) -> DataFrame:
+    """(node, part): the smallest node of those that a node links with, itself included, then that one's own.
 
     Nodes of one part are linked; linked nodes may still have different parts, which costs a test
     more but loses nothing. Whole components are made once, at the end.
     """
     both = found.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    seen = both.withColumn("part", F.col("other"))
-    if parts is not None:
-        seen = both.join(parts.withColumnRenamed("node", "other"), "other", "left").withColumn("part", F.coalesce("part", "other"))
-    least = seen.groupBy("node").agg(F.least(F.min("part"), F.col("node")).alias("part"))
-    if parts is not None:
-        least = parts.unionByName(least).groupBy("node").agg(F.min("part").alias("part"))
-    least = saved(least, "parts")
+    least = saved(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("part")), "parts")
     ahead = least.select(F.col("node").alias("part"), F.col("part").alias("next"))
     return saved(least.join(ahead, "part", "left").select("node", F.coalesce("next", "part").alias("part")), "parts")
 
 
+def units_of(live: DataFrame) -> DataFrame:
+    """(unit, node, part, m): the sets of nodes within which all pairs are still to be tested.
+
+    Buckets that share nodes overlap almost wholly where many near copies meet, so they are taken
+    together, if testing all pairs of the whole costs no more than testing those of each bucket;
+    otherwise each bucket is a unit.
+    """
+    firsts = live.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("m"))
+    groups = components(live.join(firsts, "key").select(F.col("node").alias("a"), F.col("head").alias("b")), "unit-components")
+    homes = saved(firsts.join(groups, firsts["head"] == groups["node"]).select("key", "component", "m"), "unit-homes")
+    costs = homes.groupBy("component").agg(F.sum(F.col("m") * F.col("m")).alias("cost"))
+    wide = groups.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+    kinds = costs.join(wide, "component").select("component", "nodes", (F.col("nodes") * F.col("nodes") <= F.col("cost")).alias("together"))
+    rows = live.join(homes, "key").join(kinds, "component")
+    whole = F.col("together")
+    return rows.select(
+        whole.alias("whole"), F.when(whole, F.col("component")).otherwise(F.col("key")).alias("unit"), "node", "part", F.when(whole, F.col("nodes")).otherwise(F.col("m")).alias("m")
+    ).distinct()
+
+
+def block_links(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different parts of each unit, enough to join all that links join.
+
+    A unit's nodes are dealt to blocks of bounded rows and bytes, and each pair of blocks is one
+    group: its intersections are products of 0/1 matrices. No pair becomes a row unless it is a
+    link that joins two parts.
+    """
+    bulk = units.join(sets.select("node", "codes"), "node")
+    size = bulk.groupBy("whole", "unit").agg(F.sum(F.length("codes")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_NODES), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = bulk.join(size, ["whole", "unit"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    pairs = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
+
+    def compare(frame):
+        import pandas as pd
+
+        frame = frame.sort_values("node")
+        node, part, block = frame["node"].to_numpy(), frame["part"].to_numpy(), frame["block"].to_numpy()
+        codes = [np.frombuffer(c, np.uint64) for c in frame["codes"]]
+        own = np.array([len(c) for c in codes])
+        left = np.flatnonzero(block == frame["low"].iloc[0])
+        right = np.flatnonzero(block == frame["high"].iloc[0])
+        flat, column = np.unique(np.concatenate(codes), return_inverse=True)
+        row = np.repeat(np.arange(len(codes)), own)
+        common = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(column, kind="stable")
+        for at in range(0, len(flat), COLUMNS):
+            some = order[np.searchsorted(column[order], at) : np.searchsorted(column[order], at + COLUMNS)]
+            bits = np.zeros((len(codes), min(COLUMNS, len(flat) - at)), np.float32)
+            bits[row[some], column[some] - at] = 1
+            common += bits[left] @ bits[right].T
+        union = own[left][:, None] + own[right][None, :] - common
+        linked = (100.0 * common.astype(np.float64) >= percent * union) & (part[left][:, None] != part[right][None, :])
+        i, j = np.nonzero(linked)
+        i, j = left[i], right[j]
+        # one link for each pair of parts
+        ends = np.stack([np.minimum(part[i], part[j]), np.maximum(part[i], part[j])], axis=1)
+        _, first = np.unique(ends, axis=0, return_index=True)
+        return pd.DataFrame({"a": np.minimum(node[i], node[j])[first], "b": np.maximum(node[i], node[j])[first]})
+
+    parts = max(1, int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    columns = ["whole", "unit", "low", "high"]
+    return pairs.select(*columns, "node", "part", "block", "codes").repartition(parts, *columns).groupBy(*columns).applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs` (doc_id, text).
 
@@ -188,40 +247,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sketches = saved(own.join(candidates, "node").select("node", "n", "same", "first", "sketch").dropDuplicates(["node"]), "sketches")
     sets = saved(full_sets(docs, sketches, width).dropDuplicates(["node"]), "full-sets")
 
-    links, parts = None, None
-    for step in range(HUB_ROUNDS + 1):
-        members = buckets.withColumn("part", F.col("node"))
-        if parts is not None:
-            members = buckets.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        by_part = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
-        open_keys = by_part.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        open_keys = saved(open_keys.select("key", "m", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("cross")), "open-buckets")
-        held, cross = open_keys.agg(F.sum("m"), F.sum("cross")).first()
-        if not held:
-            break
-        last = step == HUB_ROUNDS or cross <= 2 * held
-        live = saved(members.join(open_keys.select("key"), "key"), "open-members")
-        if last:
-            other = live.select("key", F.col("node").alias("other"), F.col("part").alias("other_part"))
-            pairs = live.join(other, "key").filter("part <> other_part and node < other").select(*ordered(F.col("node"), F.col("other")))
-        else:
-            # the first node, then HUBS others in an order that differs by round
-            picks = [F.struct(F.xxhash64("node", F.lit(100 * step + i)).alias("h"), "node", "part") for i in range(HUBS)] if step else [F.struct("node", "part")]
-            hubs = live.groupBy("key").agg(F.array_distinct(F.array(*[F.struct(F.min(p)["node"].alias("node"), F.min(p)["part"].alias("part")) for p in picks])).alias("hubs"))
-            hubs = hubs.select("key", F.explode("hubs").alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.part").alias("hub_part"))
-            pairs = live.join(hubs, "key").filter("part <> hub_part").select(*ordered(F.col("node"), F.col("hub")))
-        found = saved(confirmed(pairs.distinct(), sketches, sets, percent, samples), "links")
-        links = found if links is None else links.unionByName(found)
-        if last:
-            break
-        parts = joined_parts(found, parts)
-    parts = None if links is None else components(links).withColumnRenamed("component", "part")
+    # each bucket's members meet its first node
+    heads = buckets.groupBy("key").agg(F.min("node").alias("hub"))
+    pairs = buckets.join(heads, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = saved(confirmed(pairs, sketches, sets, percent, samples), "links")
+    parts = joined_parts(links)
+    # what is left: pairs of different parts in buckets of three or more
+    members = buckets.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    open_keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("p"), F.max("part").alias("q")).filter("m > 2 and p <> q").select("key", "m")
+    live = saved(members.join(open_keys, "key").select("key", "node", "part", "m"), "open-members")
+    few = live.filter(F.col("m") <= SMALL_BUCKET)
+    other = few.select("key", F.col("node").alias("other"), F.col("part").alias("other_part"))
+    pairs = few.join(other, "key").filter("part <> other_part and node < other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    links = links.unionByName(saved(confirmed(pairs, sketches, sets, percent, samples), "links"))
+    units = saved(units_of(live.filter(F.col("m") > SMALL_BUCKET).drop("m")), "units")
+    links = links.unionByName(saved(block_links(units, sets, percent), "links"))
+    parts = components(links).withColumnRenamed("component", "part")
 
     named = nodes.select("same", "first", "node")
-    if parts is not None:
-        named = named.join(parts, "node", "left").withColumn("component", F.coalesce("part", "node")).drop("part")
-    else:
-        named = named.withColumn("component", F.col("node"))
+    named = named.join(parts, "node", "left").withColumn("component", F.coalesce("part", "node")).drop("part")
     heads = nodes.select(F.col("node").alias("component"), F.col("first").alias("head"))
     homes = named.join(heads, "component").select(F.col("same").alias("home"), "head")
     out = sig.select("doc_id", F.col("n").alias("n_shingles"), "same").join(homes, F.col("same") == F.col("home"), "left")

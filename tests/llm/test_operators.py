@@ -238,7 +238,8 @@ def test_hubs_lose_no_link_of_a_chain(spark, monkeypatch):
     texts = [(i, " ".join(stock[i * 2 : i * 2 + 60])) for i in range(60)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     assert {r["component_id"] for r in neardup.near_duplicates(df, 1, 90).collect()} == {0}
-    monkeypatch.setattr(neardup, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 7)
     assert {r["component_id"] for r in neardup.near_duplicates(df, 1, 90).collect()} == {0}
 
 
