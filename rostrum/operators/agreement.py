@@ -51,15 +51,13 @@ def correlations(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 def intraclass(df: DataFrame, value: str, group: str, by: list[str]) -> DataFrame:
     """One-way ICC(1) for unequal group sizes."""
-    g = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group).agg(F.count(F.lit(1)).alias("m"), F.avg(value).alias("mean"), F.sum(F.col(value) * F.col(value)).alias("sq"))
-    t = g.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("k"), F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("m") * F.col("mean")).alias("s"),
-        F.sum(F.col("m") * F.col("mean") * F.col("mean")).alias("between"), F.sum("sq").alias("sq"),
-    )
-    k, n = F.col("k"), F.col("n")
-    msb = F.try_divide(F.col("between") - F.col("s") * F.col("s") / n, k - 1)
-    msw = F.try_divide(F.col("sq") - F.col("between"), n - k)
-    m0 = F.try_divide(n - F.col("mm") / n, k - 1)
+    g = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group).agg(F.count(F.lit(1)).alias("__m"), F.avg(value).alias("__a"), F.sum(F.col(value) * F.col(value)).alias("__q"))
+    m, a = F.col("__m"), F.col("__a")
+    t = g.groupBy(*by).agg(F.count(F.lit(1)).alias("__k"), F.sum(m).alias("__n"), F.sum(m * m).alias("__mm"), F.sum(m * a).alias("__s"), F.sum(m * a * a).alias("__b"), F.sum("__q").alias("__sq"))
+    k, n, between = F.col("__k"), F.col("__n"), F.col("__b")
+    msb = F.try_divide(between - F.col("__s") * F.col("__s") / n, k - 1)
+    msw = F.try_divide(F.col("__sq") - between, n - k)
+    m0 = F.try_divide(n - F.col("__mm") / n, k - 1)
     return t.select(*by, n.alias("n"), k.alias("n_groups"), F.try_divide(msb - msw, msb + (m0 - 1) * msw).alias("icc"))
 
 

@@ -48,13 +48,13 @@ def cell_means(df: DataFrame, value: str, by: list[str], cluster: str) -> DataFr
     Rows without value or keys are left out; the error is null for one cluster.
     """
     v = F.col(value).cast("double")
-    sums = known(df, [*by, cluster], [value]).groupBy(*by, cluster).agg(F.count(v).alias("m"), F.sum(v).alias("s"))
+    sums = known(df, [*by, cluster], [value]).groupBy(*by, cluster).agg(F.count(v).alias("__m"), F.sum(v).alias("__s"))
     cells = sums.groupBy(*by).agg(
-        F.sum("m").alias("n"), F.count(F.lit(1)).alias("n_clusters"), F.sum("s").alias("total"),
-        F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("s") * F.col("m")).alias("sm"), F.sum(F.col("m") * F.col("m")).alias("mm"),
+        F.sum("__m").alias("n"), F.count(F.lit(1)).alias("n_clusters"), F.sum("__s").alias("__total"),
+        F.sum(F.col("__s") * F.col("__s")).alias("__ss"), F.sum(F.col("__s") * F.col("__m")).alias("__sm"), F.sum(F.col("__m") * F.col("__m")).alias("__mm"),
     )
-    mean = F.col("total") / F.col("n")
-    spread = F.greatest(F.col("ss") - 2 * mean * F.col("sm") + mean * mean * F.col("mm"), F.lit(0.0))
+    mean = F.col("__total") / F.col("n")
+    spread = F.greatest(F.col("__ss") - 2 * mean * F.col("__sm") + mean * mean * F.col("__mm"), F.lit(0.0))
     se = F.when(F.col("n_clusters") > 1, F.sqrt(spread * F.try_divide(F.col("n_clusters"), F.col("n_clusters") - 1)) / F.col("n"))
     return interval(cells.select(*by, mean.alias("mean"), se.alias("se"), "n", "n_clusters"), "mean")
 
@@ -62,8 +62,8 @@ def cell_means(df: DataFrame, value: str, by: list[str], cluster: str) -> DataFr
 def gap(cells: DataFrame, side: str, high: str, low: str, by: list[str]) -> DataFrame:
     """Difference of two sides' means; errors add in quadrature. A missing side gives null."""
     pick = lambda c, s: F.max(F.when(F.col(side) == s, F.col(c)))
-    both = cells.groupBy(*by).agg(pick("mean", high).alias("mean_high"), pick("mean", low).alias("mean_low"), pick("se", high).alias("a"), pick("se", low).alias("b"))
-    out = both.select(*by, "mean_high", "mean_low", (F.col("mean_high") - F.col("mean_low")).alias("gap"), F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")).alias("se"))
+    both = cells.groupBy(*by).agg(pick("mean", high).alias("mean_high"), pick("mean", low).alias("mean_low"), pick("se", high).alias("__a"), pick("se", low).alias("__b"))
+    out = both.select(*by, "mean_high", "mean_low", (F.col("mean_high") - F.col("mean_low")).alias("gap"), F.sqrt(F.col("__a") * F.col("__a") + F.col("__b") * F.col("__b")).alias("se"))
     return interval(out, "gap")
 
 
@@ -71,38 +71,39 @@ def slope_parts(df: DataFrame, value: str, x: str, by: list[str], cluster: str)
     """Per group and cluster: score of the slope (u), with the group's slope, squares (sxx), rows (n)."""
     xx, yy = F.col(x).cast("double"), F.col(value).cast("double")
     own = known(df, [*by, cluster], [value, x]).groupBy(*by, cluster).agg(
-        F.count(F.lit(1)).alias("m"), F.sum(xx).alias("x"), F.sum(yy).alias("y"), F.sum(xx * xx).alias("xx"), F.sum(xx * yy).alias("xy")
+        F.count(F.lit(1)).alias("__m"), F.sum(xx).alias("__x"), F.sum(yy).alias("__y"), F.sum(xx * xx).alias("__xx"), F.sum(xx * yy).alias("__xy")
     )
-    group = own.groupBy(*by).agg(*[F.sum(c).alias(f"t_{c}") for c in ("m", "x", "y", "xx", "xy")], F.count(F.lit(1)).alias("n_clusters"))
-    centre = F.col("t_x") / F.col("t_m")
-    sxx = F.col("t_xx") - F.col("t_x") * centre
-    group = group.withColumn("centre", centre).withColumn("sxx", sxx).withColumn("slope", F.try_divide(F.col("t_xy") - F.col("t_y") * centre, sxx))
-    group = group.withColumn("level", (F.col("t_y") - F.col("slope") * F.col("t_x")) / F.col("t_m"))
-    u = F.col("xy") - F.col("centre") * F.col("y") - F.col("level") * (F.col("x") - F.col("centre") * F.col("m")) - F.col("slope") * (F.col("xx") - F.col("centre") * F.col("x"))
-    return own.join(group, by).select(*by, cluster, u.alias("u"), "slope", "level", "sxx", F.col("t_m").alias("n"), "n_clusters")
+    group = own.groupBy(*by).agg(*[F.sum(f"__{c}").alias(f"__t_{c}") for c in ("m", "x", "y", "xx", "xy")], F.count(F.lit(1)).alias("n_clusters"))
+    centre = F.col("__t_x") / F.col("__t_m")
+    sxx = F.col("__t_xx") - F.col("__t_x") * centre
+    group = group.withColumn("__centre", centre).withColumn("__sxx", sxx).withColumn("slope", F.try_divide(F.col("__t_xy") - F.col("__t_y") * centre, sxx))
+    group = group.withColumn("__level", (F.col("__t_y") - F.col("slope") * F.col("__t_x")) / F.col("__t_m"))
+    x0, y0, b, c = F.col("__x"), F.col("__y"), F.col("slope"), F.col("__centre")
+    u = F.col("__xy") - c * y0 - F.col("__level") * (x0 - c * F.col("__m")) - b * (F.col("__xx") - c * x0)
+    return own.join(group, by).select(*by, cluster, u.alias("__u"), "slope", "__level", "__sxx", F.col("__t_m").alias("n"), "n_clusters")
 
 
 def trend(df: DataFrame, value: str, x: str, by: list[str], cluster: str) -> DataFrame:
     """Slope of value on x in each group, with intercept and clustered error (two coefficients)."""
     parts = slope_parts(df, value, x, by, cluster)
-    group = parts.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("slope", "level", "sxx", "n", "n_clusters")], F.sum(F.col("u") * F.col("u")).alias("uu"))
+    group = parts.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("slope", "__level", "__sxx", "n", "n_clusters")], F.sum(F.col("__u") * F.col("__u")).alias("__uu"))
     g, n = F.col("n_clusters"), F.col("n")
-    se = F.when((g > 1) & (n > 2), F.sqrt(F.try_divide(g, g - 1) * F.try_divide(n - 1, n - 2) * F.col("uu")) / F.col("sxx"))
-    return interval(group.select(*by, "slope", F.col("level").alias("intercept"), se.alias("se"), "n", "n_clusters"), "slope")
+    se = F.when((g > 1) & (n > 2), F.sqrt(F.try_divide(g, g - 1) * F.try_divide(n - 1, n - 2) * F.col("__uu")) / F.col("__sxx"))
+    return interval(group.select(*by, "slope", F.col("__level").alias("intercept"), se.alias("se"), "n", "n_clusters"), "slope")
 
 
 def gap_trend(df: DataFrame, value: str, x: str, side: str, high: str, low: str, by: list[str], cluster: str) -> DataFrame:
     """Difference of two sides' slopes; a cluster may span both sides. Groups with one side are left out."""
     parts = slope_parts(df.filter(F.col(side).isin(high, low)), value, x, [*by, side], cluster)
-    own = F.when(F.col(side) == high, F.col("u") / F.col("sxx")).otherwise(-F.col("u") / F.col("sxx"))
-    scores = parts.groupBy(*by, cluster).agg(F.sum(own).alias("u"))
-    scores = scores.groupBy(*by).agg(F.sum(F.col("u") * F.col("u")).alias("uu"), F.count(F.lit(1)).alias("n_clusters"))
+    own = F.when(F.col(side) == high, F.col("__u") / F.col("__sxx")).otherwise(-F.col("__u") / F.col("__sxx"))
+    scores = parts.groupBy(*by, cluster).agg(F.sum(own).alias("__u"))
+    scores = scores.groupBy(*by).agg(F.sum(F.col("__u") * F.col("__u")).alias("__uu"), F.count(F.lit(1)).alias("n_clusters"))
     pick = lambda c, s: F.max(F.when(F.col(side) == s, F.col(c)))
-    sides = parts.groupBy(*by).agg(pick("slope", high).alias("a"), pick("slope", low).alias("b"), (pick("n", high) + pick("n", low)).alias("n"))
+    sides = parts.groupBy(*by).agg(pick("slope", high).alias("__a"), pick("slope", low).alias("__b"), (pick("n", high) + pick("n", low)).alias("n"))
     g, n = F.col("n_clusters"), F.col("n")
-    se = F.when((g > 1) & (n > 4), F.sqrt(F.try_divide(g, g - 1) * F.try_divide(n - 1, n - 4) * F.col("uu")))
-    out = sides.join(scores, by).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return interval(out.select(*by, (F.col("a") - F.col("b")).alias("gap_slope"), se.alias("se"), "n", "n_clusters"), "gap_slope")
+    se = F.when((g > 1) & (n > 4), F.sqrt(F.try_divide(g, g - 1) * F.try_divide(n - 1, n - 4) * F.col("__uu")))
+    out = sides.join(scores, by).filter(F.col("__a").isNotNull() & F.col("__b").isNotNull())
+    return interval(out.select(*by, (F.col("__a") - F.col("__b")).alias("gap_slope"), se.alias("se"), "n", "n_clusters"), "gap_slope")
 
 
 def demeaned(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
@@ -131,12 +132,12 @@ def within_cell_ols(df: DataFrame, value: str, terms: list[str], cell: list[str]
     kinds = dict(df.dtypes)
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in by)
     spark = df.sparkSession
-    betas = spark.createDataFrame(solved, (fields + ", " if by else "") + "n long, beta array<double>, inverse array<array<double>>")
+    betas = spark.createDataFrame(solved, (fields + ", " if by else "") + "__n long, __beta array<double>, __inverse array<array<double>>")
     joined = rows.join(F.broadcast(betas), by) if by else rows.crossJoin(F.broadcast(betas))
     residual = F.col(value)
     for i, t in enumerate(terms):
-        residual = residual - F.col("beta")[i] * F.col(t)
-    scores = joined.withColumn("e", residual).groupBy(*by, cluster).agg(*[F.sum(F.col(t) * F.col("e")).alias(f"s_{i}") for i, t in enumerate(terms)])
+        residual = residual - F.col("__beta")[i] * F.col(t)
+    scores = joined.withColumn("__e", residual).groupBy(*by, cluster).agg(*[F.sum(F.col(t) * F.col("__e")).alias(f"s_{i}") for i, t in enumerate(terms)])
     meat = [F.sum(F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"w_{i}_{j}") for i in range(k) for j in range(i, k)]
     pieces = {tuple(r[c] for c in by): r for r in scores.groupBy(*by).agg(F.count(F.lit(1)).alias("g"), *meat).collect()}
     out = []
@@ -161,17 +162,17 @@ def cell_contrasts(df: DataFrame, value: str, cells: list[str], cluster: str, we
     a contrast that names an empty cell is null. The error uses K = number of cells.
     """
     v = F.col(value).cast("double")
-    own = known(df, [*cells, cluster], [value]).groupBy(*cells, cluster).agg(F.count(v).alias("m"), F.sum(v).alias("s"))
-    cell = own.groupBy(*cells).agg(F.sum("m").alias("cell_n"), (F.sum("s") / F.sum("m")).alias("cell_mean"))
-    size = own.agg(F.sum("m").alias("n"), F.count_distinct(F.col(cluster)).alias("g"))
-    size = size.crossJoin(cell.agg(F.count(F.lit(1)).alias("k")))  # one row each
+    own = known(df, [*cells, cluster], [value]).groupBy(*cells, cluster).agg(F.count(v).alias("__m"), F.sum(v).alias("__s"))
+    cell = own.groupBy(*cells).agg(F.sum("__m").alias("__cell_n"), (F.sum("__s") / F.sum("__m")).alias("__cell_mean"))
+    size = own.agg(F.sum("__m").alias("__n"), F.count_distinct(F.col(cluster)).alias("__g"))
+    size = size.crossJoin(cell.agg(F.count(F.lit(1)).alias("__k")))  # one row each
     named = weights.join(cell, cells, "left")
-    point = named.groupBy("contrast").agg(F.sum(F.col("weight") * F.col("cell_mean")).alias("estimate"), F.sum(F.col("cell_mean").isNull().cast("int")).alias("n_cells_missing"))
-    score = named.join(own, cells).groupBy("contrast", cluster).agg(F.sum(F.col("weight") * (F.col("s") - F.col("m") * F.col("cell_mean")) / F.col("cell_n")).alias("u"))
-    spread = score.groupBy("contrast").agg(F.sum(F.col("u") * F.col("u")).alias("uu"))
+    point = named.groupBy("contrast").agg(F.sum(F.col("weight") * F.col("__cell_mean")).alias("estimate"), F.sum(F.col("__cell_mean").isNull().cast("int")).alias("n_cells_missing"))
+    score = named.join(own, cells).groupBy("contrast", cluster).agg(F.sum(F.col("weight") * (F.col("__s") - F.col("__m") * F.col("__cell_mean")) / F.col("__cell_n")).alias("__u"))
+    spread = score.groupBy("contrast").agg(F.sum(F.col("__u") * F.col("__u")).alias("__uu"))
     out = point.join(spread, "contrast", "left").crossJoin(size)
-    g, n, k = F.col("g"), F.col("n"), F.col("k")
-    se = F.sqrt(F.try_divide(g, g - 1) * F.try_divide(n - 1, n - k) * F.col("uu"))
+    g, n, k = F.col("__g"), F.col("__n"), F.col("__k")
+    se = F.sqrt(F.try_divide(g, g - 1) * F.try_divide(n - 1, n - k) * F.col("__uu"))
     ok = F.col("n_cells_missing") == 0
     out = out.select("contrast", F.when(ok, F.col("estimate")).alias("estimate"), F.when(ok & (g > 1), se).alias("se"), F.col("n_cells_missing").cast("long").alias("n_cells_missing"))
     return interval(out.withColumn("p", p_value(F.try_divide("estimate", "se"))), "estimate")

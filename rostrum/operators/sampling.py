@@ -60,11 +60,11 @@ def cluster_weights(clusters: DataFrame, strata: list[str], cluster: str, draws:
 
 def bootstrap_mean(df: DataFrame, value: str, by: list[str], strata: list[str], cluster: str, draws: int, seed: int) -> DataFrame:
     """Means by group with 95 % percentile intervals over cluster draws, from sums by cluster."""
-    sums = df.filter(F.col(value).isNotNull()).groupBy(*by, *[s for s in strata if s not in by], cluster).agg(F.count(F.lit(1)).alias("m"), F.sum(value).alias("s"))
+    sums = df.filter(F.col(value).isNotNull()).groupBy(*by, *[s for s in strata if s not in by], cluster).agg(F.count(F.lit(1)).alias("__cm"), F.sum(value).alias("__cs"))
     weights = cluster_weights(sums, strata, cluster, draws, seed)
-    each = sums.join(weights, [*strata, cluster]).groupBy("draw", *by).agg((F.sum(F.col("weight") * F.col("s")) / F.sum(F.col("weight") * F.col("m"))).alias("value"))
+    each = sums.join(weights, [*strata, cluster]).groupBy("draw", *by).agg((F.sum(F.col("weight") * F.col("__cs")) / F.sum(F.col("weight") * F.col("__cm"))).alias("value"))
     ends = each.groupBy(*by).agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("__e"))
-    point = sums.groupBy(*by).agg((F.sum("s") / F.sum("m")).alias("mean"), F.sum("m").alias("n"))
+    point = sums.groupBy(*by).agg((F.sum("__cs") / F.sum("__cm")).alias("mean"), F.sum("__cm").alias("n"))
     return point.join(ends, by).select(*by, "n", "mean", F.col("__e")[0].alias("low"), F.col("__e")[1].alias("high"))
 
 
