@@ -79,6 +79,16 @@ def read_bytes(uri: str) -> bytes:
         return f.read()
 
 
+def hash_edge(rows: int, total: int) -> int:
+    """A bound on 64-bit hashes that about twice `rows` of `total` rows meet: all of them where they are few.
+
+    Filtering by it first keeps a sample by smallest hash from gathering `rows` of each partition.
+    """
+    if total <= 4 * rows + 100:
+        return (1 << 63) - 1
+    return -(1 << 63) + (1 << 64) * (2 * rows + 50) // total
+
+
 def ranked(df: DataFrame, keys: list, rank: str, name: str, within: str | None = None) -> DataFrame:
     """`df` range-sorted by `keys` with a gapless 0-based `rank`, written to the shared folder.
 

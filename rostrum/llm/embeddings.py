@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_scratch, saved
+from .common import components, drop_scratch, hash_edge, saved
 
 SAMPLE_ROWS = 20_000  # rows that centres are fitted on, those with the smallest hash
 CELL = 1500  # vectors for each centre
@@ -261,7 +261,7 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     sizes = {r["dim"]: r["n"] for r in nodes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     centres: dict[int, np.ndarray] = {}
     for dim, n in sizes.items():
-        sample = nodes.filter(F.size("v") == dim).orderBy(F.xxhash64("node")).limit(SAMPLE_ROWS).select("v").toPandas()
+        sample = nodes.filter((F.size("v") == dim) & (F.xxhash64("node") <= F.lit(hash_edge(SAMPLE_ROWS, n)))).orderBy(F.xxhash64("node")).limit(SAMPLE_ROWS).select("v").toPandas()
         centres[dim] = centres_of(matrix(sample["v"]), -(-n // CELL))
 
     def assigned(centres):

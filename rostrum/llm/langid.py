@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import hash_edge
+
 PROFILE = 300
 #: Rows of each language, those with the smallest hash of their key, that the profiles are learned from.
 TRAIN_ROWS = 1000
@@ -89,8 +91,11 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     narrow = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     narrow = narrow.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
     rank = F.xxhash64("k")
+    near = F.lit(False)  # rows that may be among the smallest hashes of their language
+    for r in narrow.groupBy("l").count().collect():
+        near = near | ((F.col("l") == r["l"]) & (rank <= F.lit(hash_edge(rows, r["count"]))))
     place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    edges = {r["l"]: r["h"] for r in narrow.select("l", rank.alias("h")).withColumn("n", place).filter(F.col("n") <= rows).groupBy("l").agg(F.max("h").alias("h")).collect()}
+    edges = {r["l"]: r["h"] for r in narrow.filter(near).select("l", rank.alias("h")).withColumn("n", place).filter(F.col("n") <= rows).groupBy("l").agg(F.max("h").alias("h")).collect()}
     if not edges:
         return Profiles({})
     chosen = F.lit(False)

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_edge
+
 # The base rules, in the order in which kinds are listed. The shorter form of the
 # last two finds the same spans, as those rules take maximal runs.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -69,7 +71,8 @@ def samples(docs: DataFrame, text: str, key: str) -> DataFrame:
     spark = docs.sparkSession
     rank = F.xxhash64(key)
     # the one bound: so many rows train the ordinary model, whatever the size of the table
-    edge = docs.select(rank.alias("h")).orderBy("h").limit(SAMPLE_DOCUMENTS).agg(F.max("h")).first()[0]
+    near = docs.select(rank.alias("h")).filter(F.col("h") <= F.lit(hash_edge(SAMPLE_DOCUMENTS, docs.count())))
+    edge = near.orderBy("h").limit(SAMPLE_DOCUMENTS).agg(F.max("h")).first()[0]
     chosen = docs.filter(rank <= F.lit(edge if edge is not None else 0)).select(F.coalesce(text, F.lit("")).alias("t"))
     for pattern in (ASSIGN, ACCESS, HEX):
         chosen = chosen.select(F.regexp_replace("t", pattern, " ").alias("t"))
