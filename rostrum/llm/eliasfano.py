@@ -1,7 +1,7 @@
 """Elias-Fano sequences of rising 64-bit numbers, with vectorised access and successor search.
 
 The low bits of each number are packed; the high parts are unary in a bitmap. A directory holds the
-ones before each 512 bits, so that the place of the i-th one, and of the h-th zero, is a binary
+ones before each 256 bits, so that the place of the i-th one, and of the h-th zero, is a binary
 search in the directory and a few steps within a line. All arrays may lie in a mapped file.
 """
 
@@ -12,7 +12,7 @@ import struct
 import numpy as np
 
 HEAD = "<QQII"  # numbers, bits of the bitmap, low bits, 0
-LINE = 8  # words of 64 bits
+LINE = 4  # words of 64 bits
 U = np.uint64
 
 
@@ -105,27 +105,39 @@ class EliasFano:
         top = (self._place(i, True) - i).astype(U)
         return (top << U(self.low_bits)) | self.low_of(i)
 
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Index of the first number not below each of `wanted`; n where there is none."""
+    def _search(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first number not below each of `wanted`, whether it is equal)."""
         wanted = np.asarray(wanted, dtype=U)
-        out = np.full(len(wanted), self.n, np.int64)
+        out, same = np.full(len(wanted), self.n, np.int64), np.zeros(len(wanted), bool)
         if not self.n:
-            return out
+            return out, same
         top = (wanted >> U(self.low_bits)).astype(np.int64)
         rest = wanted & U((1 << self.low_bits) - 1)
-        highest = self.size - self.n - 1  # the last number's high part
-        live = np.flatnonzero(top <= highest)
-        first = np.zeros(len(live), np.int64)
-        inner = top[live] > 0
-        first[inner] = self._place(top[live][inner] - 1, False) - top[live][inner] + 1  # ones before the bucket
-        end = self._place(top[live], False) - top[live]  # ones before the bucket's end
-        out[live] = first
-        live, at = live[first < end], first
-        at, end = at[at < end], end[first < end]
-        while len(live):  # buckets hold two numbers on average
-            lower = self.low_of(at) < rest[live]
-            out[live] = at + lower
-            live, at, end = live[lower], at[lower] + 1, end[lower]
-            inside = at < end
-            live, at, end = live[inside], at[inside], end[inside]
-        return out
+        live = np.flatnonzero(top < self.size - self.n)  # the last number's high part is size - n - 1
+        top, rest = top[live], rest[live]
+        low = np.zeros(len(live), np.int64)
+        inner = top > 0
+        low[inner] = self._place(top[inner] - 1, False) - top[inner] + 1  # numbers before the bucket
+        end = self._place(top, False) - top
+        high = end.copy()
+        # buckets hold two numbers on average, but where numbers lie dense they are long
+        busy = np.flatnonzero(low < high)
+        while len(busy):
+            a, b = low[busy], high[busy]
+            middle = (a + b) >> 1
+            below = self.low_of(middle) < rest[busy]
+            low[busy], high[busy] = np.where(below, middle + 1, a), np.where(below, b, middle)
+            busy = busy[low[busy] < high[busy]]
+        out[live] = low
+        inside = low < end
+        same[live[inside]] = self.low_of(low[inside]) == rest[inside]
+        return out, same
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Index of the first number not below each of `wanted`; n where there is none."""
+        return self._search(wanted)[0]
+
+    def index_of(self, wanted: np.ndarray) -> np.ndarray:
+        """Index of the first number equal to each of `wanted`; -1 where there is none."""
+        found, same = self._search(wanted)
+        return np.where(same, found, -1)

@@ -1,9 +1,9 @@
 """Language-model scoring with an Elias-Fano n-gram trie of two levels in memory-mapped files.
 
 Level 1 is the vocabulary: word hashes in rising order, so a word's id is its rank. Level 2 holds
-the words seen after each context word. A context's successors are stored relative to the end of
-the context before it, which makes the whole level one rising Elias-Fano sequence; the contexts'
-ranges are a second one. Probabilities (Witten-Bell, interpolated with the smoothed unigram) and
+the words seen after each context word. A context's successors are stored relative to the context's
+place, which makes the whole level one rising Elias-Fano sequence that a successor search of
+(place, word) goes through; pointers to the ends of the contexts' ranges are a second one. Probabilities (Witten-Bell, interpolated with the smoothed unigram) and
 back-off weights are logarithms quantised to 16 bits.
 
 Both levels are split into shards of bounded size. Contexts that are very frequent are split by
@@ -143,6 +143,7 @@ class Model:
         self.folder, self.bits, self.tokens, self.documents = folder, bits, tokens, documents
         self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.vocabulary = int(self.offsets[-1])
+        self.stride = self.vocabulary + 2  # room for a context's successors, and for an unknown word
         self.shards = max(1, -(-tokens // SHARD_TOKENS))
         self.kinds: dict[int, int] = {}  # successors of split contexts
 
@@ -161,9 +162,8 @@ class Model:
             level, at = EliasFano.read(data, 0)
             table = np.frombuffer(data, "<u8", level.n, at)
             own = hashes[a:b] - (U(shard) << U(64 - self.bits) if self.bits else U(0))
-            found = level.find(own)
-            found[found == level.n] = 0
-            ok = level.get(found) == own
+            found = level.index_of(own)
+            ok = found >= 0
             ids[a:b] = np.where(ok, found + self.offsets[shard], -1)
             counts[a:b] = np.where(ok, table[found].astype(np.int64), 0)
         return ids, counts
@@ -301,16 +301,15 @@ def level_bytes(model: Model, keys: np.ndarray, counts: np.ndarray) -> bytes:
     lower = 10 ** model.unigram(id_counts(model, unique)[back])
     chance = (counts + kinds[each] * lower) / (total[each] + kinds[each])
     weight = np.log10(kinds / (total + kinds)) if len(own) else np.zeros(0)
-    last = np.concatenate([[0], np.cumsum(word[ends - 1] + 1)[:-1]]) if len(own) else np.zeros(0, np.int64)
-    relative = last[each] + word + 1
+    relative = each.astype(U) * U(model.stride) + word.astype(U)
     return b"".join([EliasFano.to_bytes(own), EliasFano.to_bytes(ends), EliasFano.to_bytes(relative), quantised(weight).tobytes(), quantised(np.log10(chance) if len(keys) else np.zeros(0)).tobytes()])
 
 
 class Level:
     """A mapped shard of level 2."""
 
-    def __init__(self, uri: str):
-        data = mapped(uri)
+    def __init__(self, uri: str, stride: int):
+        data, self.stride = mapped(uri), stride
         self.contexts, at = EliasFano.read(data, 0)
         self.ends, at = EliasFano.read(data, at)
         self.relative, at = EliasFano.read(data, at)
@@ -318,31 +317,26 @@ class Level:
         self.chances = np.frombuffer(data, "<u2", self.relative.n, at + 2 * self.contexts.n)
 
     def look_up(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability or NaN, log10 back-off weight or 0) of context-word pairs."""
+        """(log10 probability or NaN, log10 back-off weight or 0) of context-word pairs in order of context."""
         chance, weight = np.full(len(context), np.nan), np.zeros(len(context))
-        if not self.contexts.n:
-            return chance, weight
-        unique, back = np.unique(context, return_inverse=True)
-        at = self.contexts.find(unique.astype(U))
-        at[at == self.contexts.n] = 0
-        known = self.contexts.get(at) == unique.astype(U)
-        end = self.ends.get(at).astype(np.int64)
-        start = np.zeros(len(at), np.int64)
-        inner = at > 0
-        start[inner] = self.ends.get(at[inner] - 1).astype(np.int64)
-        base = np.zeros(len(at), U)
-        inner = start > 0
-        base[inner] = self.relative.get(start[inner] - 1)
-        weight[:] = np.where(known, self.weights[at] * -STEP, 0.0)[back]
-        ask = np.flatnonzero(known[back])
-        target = base[back[ask]] + word[ask].astype(U) + U(1)
-        found = self.relative.find(target)
-        ok = (found >= start[back[ask]]) & (found < end[back[ask]])
-        ask, found, target = ask[ok], found[ok], target[ok]
-        same = self.relative.get(found) == target
-        chance[ask[same]] = self.chances[found[same]] * -STEP
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+        place = np.repeat(self.contexts.index_of(context[first].astype(U)), np.diff(np.append(first, len(context))))
+        known = np.flatnonzero(place >= 0)
+        weight[known] = self.weights[place[known]] * -STEP
+        found = self.relative.index_of(place[known].astype(U) * U(self.stride) + word[known].astype(U))
+        ok = found >= 0
+        chance[known[ok]] = self.chances[found[ok]] * -STEP
         return chance, weight
 
+    def successors(self, context: int) -> np.ndarray:
+        """Word ids seen after a context: the range between its pointer and the one before."""
+        (at,) = self.contexts.index_of(np.array([context], U))
+        if at < 0:
+            return np.zeros(0, np.int64)
+        start = int(self.ends.get(np.array([at - 1]))[0]) if at else 0
+        own = np.arange(start, int(self.ends.get(np.array([at]))[0]))
+        return (self.relative.get(own) - U(int(at) * self.stride)).astype(np.int64)
+
 
 def score_tokens(model: Model, levels, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(known, unigram log10, model log10) of each token."""
@@ -352,7 +346,7 @@ def score_tokens(model: Model, levels, tokens: np.ndarray, starts: np.ndarray) -
     ask = np.flatnonzero(context >= 0)
     if len(ask) and model.tokens:
         # an unknown word takes the place after the last, which no context has
-        key = context[ask].astype(U) * U(model.vocabulary + 2) + np.where(ids[ask] < 0, model.vocabulary + 1, ids[ask]).astype(U)
+        key = context[ask].astype(U) * U(model.stride) + np.where(ids[ask] < 0, model.vocabulary + 1, ids[ask]).astype(U)
         unique, first, back = np.unique(key, return_index=True, return_inverse=True)
         c, w, n = context[ask][first], np.where(ids[ask][first] < 0, model.vocabulary + 1, ids[ask][first]), context_count[ask][first]
         shard = model.shard_of(c, w, n)
@@ -378,7 +372,7 @@ def score(docs: DataFrame, model: Model, pieces: list[str]) -> DataFrame:
 
         def levels(shard):
             name = f"pairs-{shard:05d}.eft"
-            return Level(f"{model.folder}/{name}") if name in held else None
+            return Level(f"{model.folder}/{name}", model.stride) if name in held else None
 
         for parts, tokens, starts, ends in token_blocks(batches, len(pieces)):
             known, base, own = score_tokens(model, levels, tokens, starts)
