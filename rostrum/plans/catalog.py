@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import agreement, decompose, estimates, panels, resolve, runs, sampling, windows
+from ..operators import agreement, decompose, designs, estimates, panels, payloads, resolve, runs, sampling, windows
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -442,3 +442,60 @@ def unit_means(spark, sf_dir):
 @query("""SELECT 'gov-' || substr(sha1(doc_id || chr(31) || lang || chr(31) || coalesce(source, 'None')), 1, 16) AS id, doc_id FROM documents""")
 def stable_ids(spark, sf_dir):
     return read(spark, sf_dir, "documents", "doc_id", "lang", "source").select(text.stable_id("gov-", "doc_id", "lang", "source").alias("id"), "doc_id")
+
+
+@query("""SELECT lang, source, count(*)::BIGINT AS n, round(avg(n_chars), 4) AS chars, grouping(lang)::INT AS no_lang, grouping(source)::INT AS no_source FROM documents GROUP BY GROUPING SETS ((lang), (source), ())""")
+def grouping_sets(spark, sf_dir):
+    """One measure by several groupings and overall, in one pass."""
+    rows = read(spark, sf_dir, "documents", "lang", "source", "n_chars")
+    sets = rows.groupingSets([["lang"], ["source"], []], "lang", "source")
+    out = sets.agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("chars"), F.grouping("lang").cast("int").alias("no_lang"), F.grouping("source").cast("int").alias("no_source"))
+    return rounded(out)
+
+
+@query("""SELECT l_returnflag, count(*)::BIGINT AS n, round(avg(l_discount - l_tax), 6) AS difference, round(stddev_samp(l_discount - l_tax) / sqrt(count(*)), 6) AS se, round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 4) AS t FROM lineitem GROUP BY 1""")
+def paired_differences(spark, sf_dir):
+    out = designs.paired_test(read(spark, sf_dir, "lineitem", "l_returnflag", "l_discount", "l_tax"), "l_discount", "l_tax", ["l_returnflag"])
+    return out.select("l_returnflag", "n", F.round("difference", 6).alias("difference"), F.round("se", 6).alias("se"), F.round("t", 4).alias("t"))
+
+
+@query(f"""WITH m AS (SELECT c_mktsegment, t, avg(y) AS y, count(*)::DOUBLE AS x FROM ({MONTHS}) GROUP BY 1, 2), f AS (SELECT c_mktsegment, regr_slope(x, t) AS bx, regr_intercept(x, t) AS ax, regr_slope(y, t) AS b, regr_intercept(y, t) AS a FROM m GROUP BY 1)
+SELECT c_mktsegment, count(*)::BIGINT AS n, round(corr(x, y), 6) AS raw, round(corr(x - ax - bx * t, y - a - b * t), 6) AS detrended FROM m JOIN f USING (c_mktsegment) GROUP BY 1""")
+def detrended_correlation(spark, sf_dir):
+    rows = monthly(spark, sf_dir).groupBy("c_mktsegment", "t").agg(F.avg("o_totalprice").alias("y"), F.count(F.lit(1)).cast("double").alias("x"))
+    return rounded(designs.detrended_correlation(rows, "x", "y", "t", ["c_mktsegment"]), 6)
+
+
+@query("""WITH u AS (SELECT c_mktsegment AS g, c_nationkey AS k, c_acctbal AS x, avg(o_totalprice) AS y FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, 1, 2, 3),
+r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0 AS ry, avg(x) OVER (PARTITION BY g) AS m,
+ count(*) OVER (PARTITION BY g, k) AS size, x - avg(x) OVER (PARTITION BY g, k) AS dx, y - avg(y) OVER (PARTITION BY g, k) AS dy FROM u)
+SELECT 'pearson_' || g AS statistic, round(corr(x, y), 6) AS r, count(*)::BIGINT AS n FROM r GROUP BY g UNION ALL SELECT 'spearman_' || g, round(corr(rx, ry), 6), count(*) FROM r GROUP BY g
+UNION ALL SELECT 'overall', round(corr(x, y), 6), count(*) FROM r UNION ALL SELECT 'group_only', round(corr(m, y), 6), count(*) FROM r UNION ALL SELECT 'within_cell', round(corr(dx, dy), 6), count(*) FROM r WHERE size > 1""")
+def validation_statistics(spark, sf_dir):
+    means = read(spark, sf_dir, "orders", "o_custkey", "o_totalprice").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("y"))
+    units = read(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal").join(means, F.col("c_custkey") == F.col("o_custkey"))
+    return rounded(designs.validation_statistics(units, "c_acctbal", "y", "c_mktsegment", ["c_mktsegment", "c_nationkey"]), 6)
+
+
+@query("""WITH p AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"a": ' || (event_id % 13 - 6) || ', "b": 0.5}' WHEN 1 THEN '{"a": "3", "b": 0.5}' WHEN 2 THEN '{"a": true, "b": 1}' WHEN 3 THEN '{"a": 1}' ELSE NULL END AS j FROM events),
+v AS (SELECT event_id, j, CASE WHEN json_type(j, '$.a') IN ('DOUBLE', 'BIGINT', 'UBIGINT') AND (j ->> '$.a')::DOUBLE BETWEEN -5 AND 5 THEN (j ->> '$.a')::DOUBLE END AS a, CASE WHEN json_type(j, '$.b') IN ('DOUBLE', 'BIGINT', 'UBIGINT') AND (j ->> '$.b')::DOUBLE BETWEEN 0 AND 1 THEN (j ->> '$.b')::DOUBLE END AS b FROM p)
+SELECT event_id, a, b, CASE WHEN j IS NULL THEN 'payload: absent' WHEN a IS NULL THEN 'a: absent or out of range' WHEN b IS NULL THEN 'b: absent or out of range' END AS error FROM v""")
+def json_scores_validate(spark, sf_dir):
+    kind = F.col("event_id") % 5
+    text_of = F.when(kind == 0, F.concat(F.lit('{"a": '), (F.col("event_id") % 13 - 6).cast("string"), F.lit(', "b": 0.5}'))).when(kind == 1, F.lit('{"a": "3", "b": 0.5}')).when(kind == 2, F.lit('{"a": true, "b": 1}')).when(kind == 3, F.lit('{"a": 1}'))
+    rows = read(spark, sf_dir, "events", "event_id").withColumn("j", text_of)
+    return payloads.validate_scores(rows, "j", {"a": (-5, 5), "b": (0, 1)}).drop("j")
+
+
+@query("""WITH r AS (SELECT event_id, event_type AS run, user_id % 3 AS build FROM events), f AS (SELECT run, arg_min(build, event_id) AS first FROM r GROUP BY 1)
+SELECT run, count(*)::BIGINT AS n, count(*) FILTER (build <> first)::BIGINT AS rejected FROM r JOIN f USING (run) GROUP BY 1""")
+def fingerprint_guard(spark, sf_dir):
+    rows = read(spark, sf_dir, "events", "event_id", "event_type", "user_id").select("event_id", F.col("event_type").alias("run"), (F.col("user_id") % 3).alias("build"))
+    return payloads.guard_first(rows, ["run"], "build", "event_id").groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.count_if("rejected").alias("rejected"))
+
+
+@query("""WITH t AS (SELECT event_type, sum(user_id)::BIGINT AS p, sum(event_id % 100)::BIGINT AS a FROM events GROUP BY 1) SELECT event_type, p AS prompt_tokens, a AS answer_tokens, CASE event_type WHEN 'click' THEN round((p * 0.5 + a * 1.5) / 1e6, 6) WHEN 'view' THEN round((p * 1.0 + a * 2.0) / 1e6, 6) END AS cost FROM t""")
+def token_costs(spark, sf_dir):
+    rows = read(spark, sf_dir, "events", "event_type", "user_id", "event_id").withColumn("a", F.col("event_id") % 100)
+    prices = spark.createDataFrame([("click", 0.5, 1.5), ("view", 1.0, 2.0)], "event_type string, prompt_price double, answer_price double")
+    return rounded(payloads.costs(rows, prices, "event_type", "user_id", "a"), 6)

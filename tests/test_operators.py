@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rostrum.functions import dates, text
-from rostrum.operators import agreement, checks, decompose, estimates, panels, resolve, runs, sampling, windows
+from rostrum.operators import agreement, checks, decompose, designs, estimates, panels, payloads, resolve, runs, sampling, windows
 from rostrum.sources import readers, sinks
 from rostrum.streaming import attempts
 
@@ -228,3 +228,34 @@ def test_attempt_stream(spark, tmp_path):
         attempts.follow(spark.readStream.schema(schema).json(str(tmp_path / "log")), str(tmp_path / "out"), str(tmp_path / "check"), ["k"], "ok", "at").awaitTermination()
         if i == 2:
             assert rows(spark.read.parquet(str(tmp_path / "out/v=2")).select("k", "at")) == [("a", 2), ("b", 1)]
+
+
+def test_chi2_tail():
+    # Upper 5 % points of chi-squared for 1, 2, 3, 4 and 5 degrees of freedom.
+    for df, x in enumerate([3.841459, 5.991465, 7.814728, 9.487729, 11.070498], 1):
+        assert abs(designs.chi2_tail(x, df) - 0.05) < 1e-6
+
+
+def test_block_change(spark):
+    data = [(b, p, f"m{i % 6}", 1.0 + (3.0 if (b, p) == ("y", 2) else 0.0) + 0.1 * ((i * 7 + p) % 5)) for b in "xyz" for p in (1, 2) for i in range(30)]
+    found = designs.block_change_test(spark.createDataFrame(data, "b string, p int, m string, v double"), "v", "b", "p", 1, 2, "m")
+    assert abs(found["changes"]["y"] - found["changes"]["x"] - 3) < 1e-9 and found["p"] < 1e-6 and found["df"] == 2
+
+
+def test_event_study_recovers_effects(spark):
+    effect = {-2: 0.0, -1: 0.0, 0: 0.5, 1: 1.0}
+    data = [(f"e{e}", f"u{u}", u % 2, k, 0.3 * u + 0.2 * k * (e + 1) + (u % 2) * effect[k]) for e in range(2) for u in range(8) for k in effect for _ in range(2)]
+    df = spark.createDataFrame(data, "e string, u string, t int, k int, v double")
+    found = {r["k"]: r["coef"] for r in designs.event_study(df, "v", "k", "t", "u", "e", "u", [-2, -1, 0, 1], -1).collect()}
+    assert all(abs(found[k] - effect[k]) < 1e-9 for k in (-2, 0, 1))
+
+
+def test_payloads(spark):
+    df = spark.createDataFrame([(1, '{"type": "debate", "topic": "tax"}'), (2, '{"type": "debate"}'), (3, '{"type": "other", "topic": "tax"}'), (4, '{"type": "x"}'), (5, '{"type": "other", "topic": null}')], "k int, j string")
+    found = {r["k"]: (r["type"], r["error"]) for r in payloads.validate_labels(df, "j", "type", ["debate", "other"], "topic", "debate", ["tax"]).collect()}
+    assert found[1] == ("debate", None) and found[5] == ("other", None)
+    assert [found[k][1] for k in (2, 3, 4)] == ["topic: not in the vocabulary", "topic: only for debate", "type: not in the vocabulary"]
+    with pytest.raises(checks.IntegrityError, match="seed"):
+        payloads.check_resumable({"seed": 1, "x": 2}, {"seed": 2, "x": 2}, ["seed", "x"])
+    rows_ = spark.createDataFrame([("a", 1)], "speech_id string, attempt int")
+    assert payloads.carried(rows_, rows_, "speech_id", "r1").first()["carried_from"]["run"] == "r1"
