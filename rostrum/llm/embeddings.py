@@ -1,12 +1,11 @@
 """Embedding near-duplicates: a robust-pruned flat graph built on overlapping cluster shards.
 
-Cells around centres (fitted on a bounded sample) overlap by the link radius: a vector belongs to
-each cell that some vector linked with it might call nearest. So all links of a vector lie in the
-cell of its own nearest centre, and cells are searched on their own. Each cell builds a
-robust-pruned graph; the adjacency lists of all cells are united; in each cell a greedy search
-from its medoids finds every vector's surroundings, then expands over all vectors in range. A
-brute-force audit of some vectors widens the search until it finds all their links, and cosines
-are verified in double precision.
+Each vector belongs to the cells of its OVERLAP nearest centres (fitted on a bounded sample), so
+vectors that link almost surely share a cell. Each cell builds a robust-pruned graph; the
+adjacency lists of all cells are united; in each cell a greedy search from its medoids finds every
+vector's surroundings, then expands over all vectors in range. A brute-force audit of some
+vectors of each cell widens the search until it finds all their links there, and cosines are
+verified in double precision. A link found in several cells counts in the first that both share.
 """
 
 from __future__ import annotations
@@ -21,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import components, drop_scratch, hash_edge, saved
 
 SAMPLE_ROWS = 20_000  # rows that centres are fitted on, those with the smallest hash
-CELL = 1500  # vectors for each centre
+CELL = 1000  # vectors for each centre
+OVERLAP = 5  # cells of each vector
 LARGEST = 12_000  # members of a cell, with its overlap, above which it gets more centres
 REFINEMENTS = 4
 DEGREE = 24
@@ -53,31 +53,20 @@ def centres_of(x: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     return np.unique(centres, axis=0)
 
 
-def cells_of(x: np.ndarray, centres: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, whether it is the row's own) of all cells that a row within `radius` could have as its nearest.
+def cells_of(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The OVERLAP nearest centres of each row, by rising number."""
+    k = min(OVERLAP, len(centres))
+    out = np.empty((len(x), k), np.int32)
+    for at in range(0, len(x), 1024):
+        near = x[at : at + 1024] @ centres.T
+        out[at : at + 1024] = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    return np.sort(out, axis=1)
 
-    A point within the radius can be nearer to centre a than to b only if the row's distance to
-    the plane between them is at most the radius on b's side.
-    """
-    gaps = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-18))
-    norms = (centres * centres).sum(axis=1)
-    rows, cells, own = [], [], []
-    for at in range(0, len(x), 512):
-        square = norms - 2 * (x[at : at + 512] @ centres.T)  # less the row's own square
-        nearest = square.argmin(axis=1)
-        near = square[:, :] - square.min(axis=1, keepdims=True) <= 2 * radius * gaps[nearest]
-        r, a = np.nonzero(near)
-        keep = np.ones(len(r), bool)
-        for i in range(0, len(r), 4096):
-            s = slice(i, i + 4096)
-            over = (square[r[s], a[s]][:, None] - square[r[s]]) / (2 * gaps[a[s]])
-            over[np.arange(len(over)), a[s]] = -1
-            keep[s] = over.max(axis=1) <= radius + 1e-9
-        r, a = r[keep], a[keep]
-        rows.append(r + at)
-        cells.append(a)
-        own.append(nearest[r] == a)
-    return np.concatenate(rows), np.concatenate(cells), np.concatenate(own)
+
+def first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that both rows hold."""
+    both = (a[:, :, None] == b[:, None, :]).any(axis=2)
+    return np.where(both, a, np.iinfo(np.int32).max).min(axis=1)
 
 
 def prune(x: np.ndarray, node: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -256,8 +245,6 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = saved(rows.withColumn("fine", F.coalesce(fine, F.lit(False))), "vectors")
     groups = rows.filter("fine").groupBy("v").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"))
     nodes = saved(groups.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
-    radius = float(np.sqrt(2 - 2 * threshold))
-
     sizes = {r["dim"]: r["n"] for r in nodes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     centres: dict[int, np.ndarray] = {}
     for dim, n in sizes.items():
@@ -267,12 +254,11 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     def assigned(centres):
         def run(frames):
             for frame in frames:
-                dims = frame["v"].map(len)
-                for dim, own in frame.groupby(dims):
-                    row, cell, mine = cells_of(matrix(own["v"]), centres[dim], radius)
-                    yield pd.DataFrame({"node": own["node"].to_numpy()[row], "dim": dim, "cell": cell, "mine": mine})
+                for dim, own in frame.groupby(frame["v"].map(len)):
+                    yield pd.DataFrame({"node": own["node"], "dim": dim, "cells": list(cells_of(matrix(own["v"]), centres[dim]))})
 
-        return nodes.select("node", "v").mapInPandas(run, "node long, dim int, cell int, mine boolean")
+        found = nodes.select("node", "v").mapInPandas(run, "node long, dim int, cells array<int>")
+        return found.select("node", "dim", "cells", F.explode("cells").alias("cell"))
 
     for _ in range(REFINEMENTS):
         cells = saved(assigned(centres), "cells")
@@ -309,19 +295,20 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         graph = np.full((len(ids), max(1, max(map(len, lists)))), -1, np.int64)
         for i, own in enumerate(lists):
             graph[i, : len(own)] = own
-        own, copies = np.flatnonzero(frame["mine"].to_numpy()), frame["copies"].to_numpy()
-        count, label = copies - 1, np.arange(len(ids))
-        for a, b in cell_links(x, graph, own, threshold) if len(own) else ():
-            np.add.at(count, a, copies[b])
+        copies, cells, here = frame["copies"].to_numpy(), np.stack(frame["cells"]), frame["cell"].iloc[0]
+        count, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for a, b in cell_links(x, graph, np.arange(len(ids)), threshold):
+            first = first_common(cells[a], cells[b]) == here  # a link counts in one of the cells that both ends share
+            np.add.at(count, a[first], copies[b[first]])
             # join the components of this block's links with those so far
             label = local_components(len(ids), np.concatenate([np.arange(len(ids)), a]), np.concatenate([label, b]))
-        return pd.DataFrame({"node": ids, "mine": frame["mine"].to_numpy(), "links": count, "head": ids[label]})
+        return pd.DataFrame({"node": ids, "links": count, "head": ids[label]})
 
-    near = members.join(united, "node").repartition(parts, "dim", "cell").groupBy("dim", "cell").applyInPandas(links_of, "node long, mine boolean, links long, head long")
+    near = members.join(united, "node").repartition(parts, "dim", "cell").groupBy("dim", "cell").applyInPandas(links_of, "node long, links long, head long")
     near = saved(near, "cell-links")
     part = components(near.select(F.col("node").alias("a"), F.col("head").alias("b")))
-    counts = near.filter("mine").groupBy("node").agg(F.max("links").alias("links"))
-    named = nodes.join(counts, "node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counts = near.groupBy("node").agg(F.sum("links").alias("others"))
+    named = nodes.join(counts, "node").withColumn("links", F.col("others") + F.col("copies") - 1).join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = named.groupBy("component").agg(F.min("first").alias("head"))
     homes = named.join(heads, "component").select(F.col("v").alias("home"), "links", "head")
     out = rows.join(homes, F.col("fine") & (F.col("v") == F.col("home")), "left")
@@ -331,5 +318,5 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
 def cells_sample(nodes: DataFrame, cells: DataFrame, dim: int, cell: int) -> list:
     """Vectors of a cell to fit more centres on: SAMPLE_ROWS at most, by hash."""
-    inside = cells.filter((F.col("dim") == dim) & (F.col("cell") == cell) & F.col("mine")).select("node")
+    inside = cells.filter((F.col("dim") == dim) & (F.col("cell") == cell)).select("node")
     return list(nodes.join(inside, "node").orderBy(F.xxhash64("node")).limit(SAMPLE_ROWS).select("v").toPandas()["v"])
