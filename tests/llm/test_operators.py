@@ -86,7 +86,9 @@ def test_rank_order_distance_by_hand():
     assert profiles.predict("zzz", letters)[0] == "x" and profiles.predict("123", letters) == ("und", 0.0)
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("cell", [1000, 40])
+def test_embeddings(spark, cell, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", cell)
     r = np.random.default_rng(2)
     x = r.normal(size=(300, 8))
     x[50:120] = x[0] + 0.15 * r.normal(size=(70, 8))
