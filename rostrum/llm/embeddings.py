@@ -1,15 +1,18 @@
 """Embedding near-duplicates: a robust-pruned flat graph built on overlapping cluster shards.
 
 Each vector belongs to the cells of its OVERLAP nearest centres (fitted on a bounded sample), so
-vectors that link almost surely share a cell. Each cell builds a robust-pruned graph; the
-adjacency lists of all cells are united; in each cell a greedy search from its medoids finds every
-vector's surroundings, then expands over all vectors in range. A brute-force audit of some
-vectors of each cell widens the search until it finds all their links there, and cosines are
-verified in double precision. A link found in several cells counts in the first that both share.
+most vectors that link share a cell. Each cell builds a robust-pruned graph; the adjacency lists
+of all cells are united; in each cell a greedy search from its medoids finds every vector's
+surroundings, then expands over all vectors in range. A brute-force audit of some vectors of each
+cell widens the search until it finds all their links there, and cosines are verified in double
+precision. A link found in several cells counts in the first that both share. Vectors that share
+no cell are compared all with all, in blocks; only what the angles to a block's centre rule out is
+left out.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_scratch, hash_edge, saved
+from .common import AtomicFile, components, drop_scratch, hash_edge, read_bytes, saved, scratch
 
 SAMPLE_ROWS = 20_000  # rows that centres are fitted on, those with the smallest hash
 CELL = 1000  # vectors for each centre
@@ -32,6 +35,8 @@ MEDOIDS = 4
 QUERIES = 256
 AUDIT = 64
 PAIRS = 100_000
+BLOCK = 2048  # vectors of one nearest centre that are compared at once with those of another
+RUN = 16  # blocks that a row of work compares with one
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -214,6 +219,33 @@ def cell_links(x: np.ndarray, graph: np.ndarray, own: np.ndarray, threshold: flo
         yield q[row], node
 
 
+def reach(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """The angle between each row and `centre`."""
+    return np.arccos(np.clip(x @ centre, -1, 1))
+
+
+def apart_links(a: dict, b: dict, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links (row of a, row of b) of two blocks whose ends share no cell.
+
+    A row whose angle to the other block's centre exceeds that block's radius by more than the
+    link angle has no link there.
+    """
+    link = np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+    rows = np.flatnonzero(reach(a["x"], b["centre"]) <= b["radius"] + link)
+    others = np.flatnonzero(reach(b["x"], a["centre"]) <= a["radius"] + link)
+    names = np.intersect1d(a["cells"][rows], b["cells"][others])
+    for at in range(0, len(rows) if len(others) else 0, 512):
+        r = rows[at : at + 512]
+        close = a["x"][r] @ b["x"][others].T >= threshold
+        if not close.any():
+            continue
+        if len(names):
+            here, there = ((c[:, :, None] == names).any(axis=1).astype(np.float32) for c in (a["cells"][r], b["cells"][others]))
+            close &= here @ there.T == 0
+        i, j = np.nonzero(close)
+        yield r[i], others[j]
+
+
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest row that links reach, by repeated minima and jumps."""
     label = np.arange(n)
@@ -255,10 +287,13 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         def run(frames):
             for frame in frames:
                 for dim, own in frame.groupby(frame["v"].map(len)):
-                    yield pd.DataFrame({"node": own["node"], "dim": dim, "cells": list(cells_of(matrix(own["v"]), centres[dim]))})
+                    x = matrix(own["v"])
+                    cells = cells_of(x, centres[dim])
+                    nearest = np.concatenate([np.einsum("nd,nkd->nk", x[i : i + 1024], centres[dim][cells[i : i + 1024]]).argmax(axis=1) for i in range(0, len(x), 1024)])
+                    yield pd.DataFrame({"node": own["node"], "dim": dim, "cells": list(cells), "home": cells[np.arange(len(x)), nearest]})
 
-        found = nodes.select("node", "v").mapInPandas(run, "node long, dim int, cells array<int>")
-        return found.select("node", "dim", "cells", F.explode("cells").alias("cell"))
+        found = nodes.select("node", "v").mapInPandas(run, "node long, dim int, cells array<int>, home int")
+        return found.select("node", "dim", "cells", "home", F.explode("cells").alias("cell"))
 
     for _ in range(REFINEMENTS):
         cells = saved(assigned(centres), "cells")
@@ -305,7 +340,7 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         return pd.DataFrame({"node": ids, "links": count, "head": ids[label]})
 
     near = members.join(united, "node").repartition(parts, "dim", "cell").groupBy("dim", "cell").applyInPandas(links_of, "node long, links long, head long")
-    near = saved(near, "cell-links")
+    near = saved(near, "cell-links").unionByName(saved(links_apart(members, threshold), "apart-links"))
     part = components(near.select(F.col("node").alias("a"), F.col("head").alias("b")))
     counts = near.groupBy("node").agg(F.sum("links").alias("others"))
     named = nodes.join(counts, "node").withColumn("links", F.col("others") + F.col("copies") - 1).join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -316,6 +351,65 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     return out.select(F.col("key").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
 
+def links_apart(members: DataFrame, threshold: float) -> DataFrame:
+    """node, links, head of the links whose ends share no cell, by exact comparison of blocks.
+
+    A block holds up to about BLOCK nodes of one nearest centre, in a file of the shared folder. Two
+    blocks are compared if the angle between their centres is at most their radii and the link angle.
+    """
+    spark = members.sparkSession
+    folder, parts = scratch(spark, "vector-blocks"), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = members.filter(F.col("cell") == F.col("home"))
+    sizes = own.groupBy("dim", "home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("pieces"))
+    own = own.join(F.broadcast(sizes), ["dim", "home"]).withColumn("piece", F.pmod(F.xxhash64("node"), "pieces"))
+
+    def block_of(frame: pd.DataFrame) -> pd.DataFrame:
+        first, x = frame.iloc[0], matrix(frame["v"])
+        mean = x.mean(axis=0)
+        size = np.sqrt((mean * mean).sum())
+        centre = mean / size if size > 1e-9 else x[0]
+        radius, path = float(reach(x, centre).max()), f"{folder}/{first['dim']}-{first['home']}-{first['piece']}"
+        out = io.BytesIO()
+        np.savez(out, x=x, centre=centre, radius=radius, node=frame["node"].to_numpy(), copies=frame["copies"].to_numpy(), cells=np.stack(frame["cells"]))
+        with AtomicFile(path) as f:
+            f.write(out.getvalue())
+        return pd.DataFrame({"dim": [first["dim"]], "home": [first["home"]], "path": [path], "centre": [centre], "radius": [radius]})
+
+    packed = own.groupBy("dim", "home", "piece").applyInPandas(block_of, "dim int, home int, path string, centre array<double>, radius double")
+    blocks = saved(packed, "vector-block-list").toPandas()
+    work = []
+    for _, g in blocks.groupby("dim"):
+        centre, radius, home, path = np.stack(g["centre"]), g["radius"].to_numpy(), g["home"].to_numpy(), g["path"].to_numpy()
+        for i in range(len(g)):
+            # nodes of one nearest centre share its cell
+            near = (reach(centre[i + 1 :], centre[i]) <= radius[i] + radius[i + 1 :] + np.arccos(np.clip(threshold, -1, 1)) + 1e-6) & (home[i + 1 :] != home[i])
+            others = path[i + 1 :][near]
+            work += [(path[i], others[k : k + RUN].tolist()) for k in range(0, len(others), RUN)]
+
+    def load(path: str) -> dict:
+        with np.load(io.BytesIO(read_bytes(path))) as f:
+            return {k: f[k] for k in f.files}
+
+    def run(frames):
+        for frame in frames:
+            for path, others in zip(frame["path"], frame["others"]):
+                a = load(path)
+                for other in others:
+                    b = load(other)
+                    n, node = len(a["node"]), np.concatenate([a["node"], b["node"]])
+                    count, label = np.zeros(len(node), np.int64), np.arange(len(node))
+                    for i, j in apart_links(a, b, threshold):
+                        np.add.at(count, i, b["copies"][j])
+                        np.add.at(count, n + j, a["copies"][i])
+                        label = local_components(len(node), np.concatenate([np.arange(len(node)), i]), np.concatenate([label, n + j]))
+                    has = count > 0
+                    if has.any():
+                        yield pd.DataFrame({"node": node[has], "links": count[has], "head": node[label[has]]})
+
+    tasks = spark.createDataFrame(work, "path string, others array<string>").repartition(max(parts, min(len(work), 4 * parts)))
+    return tasks.mapInPandas(run, "node long, links long, head long")
+
+
 def cells_sample(nodes: DataFrame, cells: DataFrame, dim: int, cell: int) -> list:
     """Vectors of a cell to fit more centres on: SAMPLE_ROWS at most, by hash."""
     inside = cells.filter((F.col("dim") == dim) & (F.col("cell") == cell)).select("node")

@@ -127,6 +127,23 @@ def test_cells_hold_nearly_all_links():
     assert cells.shape == (3000, embeddings.OVERLAP) and len(a) > 500 and found >= 0.99
 
 
+def test_embeddings_find_all_links_of_a_dense_group(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", 10)
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(1800, 32))
+    x[600:1200] = x[600] + 0.17 * r.normal(size=(600, 32))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    found = embeddings.near_embeddings(df).toPandas().sort_values("vec_id")
+    u = embeddings.unit(x)
+    close = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    cells = embeddings.cells_of(u, embeddings.centres_of(u, 180))
+    a, b = np.nonzero(close)
+    assert (embeddings.first_common(cells[a], cells[b]) >= 180).any()  # some links share no cell
+    assert found.n_links.tolist() == close.sum(axis=1).tolist()
+    assert found.component_id.tolist() == embeddings.local_components(len(u), a, b).tolist()
+
+
 def test_sharding(docs, empty, rows):
     found = sharding.shard_documents(docs, 4).toPandas()
     size = lambda t: len((t or "").encode()) + 1
