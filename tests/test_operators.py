@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import dates, text
 from rostrum.operators import agreement, checks, decompose, designs, estimates, panels, payloads, resolve, runs, sampling, windows
+from rostrum.plans import catalog
 from rostrum.sources import readers, sinks
 from rostrum.streaming import attempts
 
@@ -259,3 +260,20 @@ def test_payloads(spark):
         payloads.check_resumable({"seed": 1, "x": 2}, {"seed": 2, "x": 2}, ["seed", "x"])
     rows_ = spark.createDataFrame([("a", 1)], "speech_id string, attempt int")
     assert payloads.carried(rows_, rows_, "speech_id", "r1").first()["carried_from"]["run"] == "r1"
+
+
+def test_tie_break_match_has_every_candidate(spark, tmp_path):
+    suppliers = [(1, 5, 1000.0), (2, 5, 5000.0), (3, 6, 0.0), (4, 7, 0.0), (5, 8, 0.0)]
+    customers = [(2, 5, 1100.0), (8, 5, 9000.0), (10, 5, 5200.0), (11, 5, 4700.0), (20, 6, 3000.0), (30, 8, 100.0), (31, 8, 900.0)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    want = []
+    for s, nation, balance in suppliers:
+        every = [(c, abs(balance - b) < 500) for c, n, b in customers if n == nation]
+        near = [c for c, close in every if close]
+        if len(every) == 1:
+            want.append((s, every[0][0], "unique", 1))
+        elif every:
+            want.append((s, near[0], "tie_break", len(every)) if len(near) == 1 else (s, None, "ambiguous", len(every)))
+    assert [w[2] for w in want] == ["tie_break", "ambiguous", "unique", "tie_break"]
+    assert rows(catalog.tie_break_match(spark, str(tmp_path))) == want
