@@ -277,3 +277,10 @@ def test_tie_break_match_has_every_candidate(spark, tmp_path):
             want.append((s, near[0], "tie_break", len(every)) if len(near) == 1 else (s, None, "ambiguous", len(every)))
     assert [w[2] for w in want] == ["tie_break", "ambiguous", "unique", "tie_break"]
     assert rows(catalog.tie_break_match(spark, str(tmp_path))) == want
+
+
+def test_dense_gap_check_reads_all_orders(spark, tmp_path):
+    # only keys 1 and 51 are 1 modulo 50; the years of the others fill and make gaps
+    orders = [(1, "1994-05-01"), (51, "1996-05-01"), (2, "1995-01-01"), (3, "1999-12-31"), (4, "1992-01-01")]
+    spark.createDataFrame(orders, "o_custkey long, o_orderdate string").withColumn("o_orderdate", F.to_date("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert rows(catalog.dense_gap_check(spark, str(tmp_path))) == [(1993,), (1997,), (1998,)]
