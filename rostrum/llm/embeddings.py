@@ -4,9 +4,9 @@ Each vector belongs to the cells of its OVERLAP nearest centres (fitted on a bou
 most vectors that link share a cell. Each cell builds a robust-pruned graph; the adjacency lists
 of all cells are united; in each cell a greedy search from its medoids finds every vector's
 surroundings, then expands over all vectors in range. A brute-force audit of some vectors of each
-cell widens the search until it finds all their links there, and cosines are verified in double
-precision. A link found in several cells counts in the first that both share. Vectors that share
-no cell are compared all with all, in blocks; only what the angles to a block's centre rule out is
+cell widens the search until it finds all their links there, what it misses of other vectors is
+added by comparison within the cell, and cosines are verified in double precision. So each cell
+has all its links, and one that lies in several counts in the first. Vectors that share no cell are compared all with all, in blocks; only what the angles to a block's centre rule out is
 left out.
 """
 
@@ -200,7 +200,11 @@ def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entries: np.nd
 
 
 def cell_links(x: np.ndarray, graph: np.ndarray, own: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (row, other row) of the rows `own`, in blocks; the beam is widened until the audit finds every link."""
+    """All links (row, other row) of the rows `own`, in blocks.
+
+    The beam is widened until the audit finds every link; links that the search of other rows still
+    misses are added by comparison with all rows.
+    """
     entries, beam = medoids(x), BEAM
     audit = own[:: max(1, len(own) // AUDIT)][:AUDIT]
     truth = (x[audit] @ x.T >= threshold) & (np.arange(len(x)) != audit[:, None])
@@ -212,10 +216,10 @@ def cell_links(x: np.ndarray, graph: np.ndarray, own: np.ndarray, threshold: flo
         beam *= 2
     for at in range(0, len(own), QUERIES):
         q = own[at : at + QUERIES]
-        if beam >= len(x):  # the graph fails its audit at any width: compare all
-            row, node = np.nonzero((x[q] @ x.T >= threshold) & (np.arange(len(x)) != q[:, None]))
-        else:
-            row, node = search(x, graph, q, entries, threshold, beam)
+        links = (x[q] @ x.T >= threshold) & (np.arange(len(x)) != q[:, None])
+        if beam < len(x):  # else the graph fails its audit at any width
+            links[search(x, graph, q, entries, threshold, beam)] = True
+        row, node = np.nonzero(links)
         yield q[row], node
 
 

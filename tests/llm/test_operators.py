@@ -118,6 +118,23 @@ def test_pruned_graph_search_finds_links():
     assert len(want & set(zip(row.tolist(), node.tolist()))) >= 0.9 * len(want)
 
 
+def test_cell_links_that_search_misses(monkeypatch):
+    r = np.random.default_rng(5)
+    x = embeddings.unit(np.repeat(r.normal(size=(60, 16)), 5, axis=0) + 0.03 * r.normal(size=(300, 16)))
+    search, own = embeddings.search, np.arange(300)
+    audited = set(own[:: 300 // embeddings.AUDIT][: embeddings.AUDIT].tolist())
+
+    def lossy(x, graph, queries, *rest):
+        row, node = search(x, graph, queries, *rest)
+        kept = np.array([q in audited for q in queries[row].tolist()], bool)
+        return row[kept], node[kept]
+
+    monkeypatch.setattr(embeddings, "search", lossy)
+    found = [(a, b) for block in embeddings.cell_links(x, embeddings.build(x), own, 0.95) for a, b in zip(*map(np.ndarray.tolist, block))]
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero((x @ x.T >= 0.95) & ~np.eye(300, dtype=bool)))))
+    assert len(found) == len(want) and set(found) == want
+
+
 def test_cells_hold_nearly_all_links():
     r = np.random.default_rng(6)
     x = embeddings.unit(np.concatenate([r.normal(size=(2000, 32)), np.repeat(r.normal(size=(200, 32)), 5, axis=0) + 0.18 * r.normal(size=(1000, 32))]))
