@@ -92,10 +92,17 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     narrow = narrow.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
     rank = F.xxhash64("k")
     near = F.lit(False)  # rows that may be among the smallest hashes of their language
-    for r in narrow.groupBy("l").count().collect():
-        near = near | ((F.col("l") == r["l"]) & (rank <= F.lit(hash_edge(rows, r["count"]))))
+    sizes = {r["l"]: r["count"] for r in narrow.groupBy("l").count().collect()}
+    for language, n in sizes.items():
+        near = near | ((F.col("l") == language) & (rank <= F.lit(hash_edge(rows, n))))
     place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    edges = {r["l"]: r["h"] for r in narrow.filter(near).select("l", rank.alias("h")).withColumn("n", place).filter(F.col("n") <= rows).groupBy("l").agg(F.max("h").alias("h")).collect()}
+    first = narrow.filter(near).select("l", rank.alias("h")).withColumn("n", place).filter(F.col("n") <= rows).groupBy("l").agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n")).collect()
+    edges, passed = {r["l"]: r["h"] for r in first}, {r["l"]: r["n"] for r in first}
+    short = [language for language, n in sizes.items() if passed.get(language, 0) < min(rows, n)]
+    if short:  # where keys repeat, too few rows may meet the bound: the smallest hashes of all rows
+        hashes = narrow.filter(F.col("l").isin(short)).groupBy("l", rank.alias("h")).agg(F.count(F.lit(1)).alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("l").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        edges |= {r["l"]: r["h"] for r in hashes.withColumn("before", before).filter(F.col("before") < rows).groupBy("l").agg(F.max("h").alias("h")).collect()}
     if not edges:
         return Profiles({})
     chosen = F.lit(False)

@@ -76,6 +76,17 @@ def test_language(docs, empty):
     assert langid.identify(docs).count() == docs.count() and langid.identify(empty).count() == 0
 
 
+def test_language_of_repeated_keys_has_a_profile(spark):
+    edge = langid.hash_edge(10, 200)
+    key = spark.range(100).filter(~langid.held_out("id") & (F.xxhash64("id") > F.lit(edge))).first()["id"]
+    data = [(key, "ein kleiner satz", "de")] * 200 + [(i, "a small sentence", "en") for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    profiles = langid.learn(df, rows=10)
+    few = langid.learn(df.filter("lang = 'en'").unionByName(df.filter("lang = 'de'").limit(20)), rows=10)
+    assert sorted(profiles.languages) == sorted(few.languages) == ["de", "en"]
+    assert profiles.predict("ein kleiner satz", langid.alphabet()) == ("de", 1.0)
+
+
 def test_rank_order_distance_by_hand():
     letters = langid.alphabet()
     codes, counts = langid.ngrams("Aa b", letters)
