@@ -151,23 +151,25 @@ def phrase_matches(postings: np.ndarray, windows: Windows) -> tuple[np.ndarray,
 
 
 def near_matches(postings: np.ndarray, windows: Windows, slop: int, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, place of its rarest term) where every term lies within length - 1 + slop places of that place, in any order and the same document."""
+    """(window, place of its rarest term) where every term lies, as often as in the window, within length - 1 + slop places of that place, in any order and the same document."""
     n = len(windows.numbers)
     edges = np.searchsorted(postings, np.arange(n + 1, dtype=np.int64) << POSITION_BITS)
     count = np.diff(edges)
     out = [], []
     for w, (terms, length) in enumerate(zip(windows.terms, windows.length, strict=True)):
-        terms = np.unique(terms[terms >= 0])
-        terms = terms[np.argsort(count[terms], kind="stable")]
+        terms, times = np.unique(terms[terms >= 0], return_counts=True)
+        order = np.argsort(count[terms], kind="stable")
+        terms, times = terms[order], times[order]
         place = postings[edges[terms[0]] : edges[terms[0] + 1]] & ((1 << POSITION_BITS) - 1)
         reach = length - 1 + slop
-        for t in terms[1:]:
+        for t, m in zip(terms, times, strict=True):
             if not len(place):
                 break
             doc = np.searchsorted(starts, place, side="right") - 1
             low = np.searchsorted(postings, (t << POSITION_BITS) | np.maximum(place - reach, starts[doc]))
-            first = postings[np.minimum(low, len(postings) - 1)]
-            place = place[(low < len(postings)) & (first >> POSITION_BITS == t) & ((first & ((1 << POSITION_BITS) - 1)) <= np.minimum(place + reach, starts[doc] + lengths[doc] - 1))]
+            low += m - 1  # the last of the m occurrences that the window needs
+            last = postings[np.minimum(low, len(postings) - 1)]
+            place = place[(low < len(postings)) & (last >> POSITION_BITS == t) & ((last & ((1 << POSITION_BITS) - 1)) <= np.minimum(place + reach, starts[doc] + lengths[doc] - 1))]
         out[0].append(np.full(len(place), w))
         out[1].append(place)
     return np.concatenate(out[0] or [np.zeros(0, np.int64)]), np.concatenate(out[1] or [np.zeros(0, np.int64)])

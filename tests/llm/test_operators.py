@@ -407,6 +407,13 @@ def test_contamination(spark, docs, empty, rows, block, monkeypatch):
     assert not decontaminate.contamination(docs, benchmark.limit(0)).filter("contaminated").count()
 
 
+def test_near_matches_need_repeated_words(spark):
+    docs = spark.createDataFrame([(1, "one rose is a rose"), (2, "one rose is a"), (3, "a rose rose x is one")], "doc_id long, text string")
+    tests = spark.createDataFrame([(7, "one rose is a rose")], "item_id long, text string")
+    near = {r["key"]: r["items"] for r in decontaminate.matches(docs, tests, slop=2).collect()}
+    assert near == {1: [7], 2: [], 3: [7]}
+
+
 def test_near_matches(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "gamma beta alpha"), (3, "alpha " + "x " * 30 + "beta gamma"), (4, "alpha beta"), (5, "gamma")], "doc_id long, text string")
     tests = spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string")
