@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -16,84 +18,205 @@ from . import rans
 from .common import AtomicFile, filesystem, read_bytes, saved, scratch
 
 BLOCK_TOKENS = 1 << 20
-CACHE_UNITS = 500_000
-DOCS_AT_ONCE = 512
-SEPARATOR = "\x0b"
+CACHE_PIECES = 600_000
+CACHE_OTHERS = 100_000
+DOCS_AT_ONCE = 4096
+TEXT_AT_ONCE = 4 << 20  # characters
+#: Parts units that are encoded together; no unit that PLAIN matches holds it.
+CUT = "\u0100"
+#: Units whose pre-tokenization PIECE gives: printable ASCII, Latin-1 letters and newlines within.
+PLAIN = "^[!-~\u00c0-\u00ff]([\n!-~\u00c0-\u00ff]*[!-~\u00c0-\u00ff])?$"
+# Fixed value: the pre-tokenizer's pattern, written for those characters.
+PIECE = re.compile(CUT + r"|'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ" + CUT + r"]+|\s+(?!\S)|\s+")
+
+
+def byte_names() -> str:
+    """The characters that stand for the 256 bytes: themselves where they can be seen, else from U+0100 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = iter(range(256, 512))
+    return "".join(chr(b) if b in seen else chr(next(hidden)) for b in range(256))
+
+
+BYTE_NAMES = byte_names()
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """This worker process's encoder, kept from task to task so that its caches serve all of them."""
+    if path not in ENCODERS:
+        ENCODERS.clear()
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
 
 
 class Encoder:
-    """The tokenizer's ids of whole texts, with a bounded cache of repeated units.
+    """The tokenizer's ids of whole texts, with bounded caches of repeated pieces.
 
     A byte-level pre-tokenizer always cuts before a single space that stands between two characters
-    that are no white space, so a text may be encoded in units cut there. Every unit goes through
-    the library once while it is cached.
+    that are no white space, so a text may be encoded in units cut there. Arrow finds the distinct
+    units of many texts. Those of plain Latin characters are cut further into the pre-tokenizer's
+    own pieces, and each new piece goes through the library's model once; any other unit goes
+    through the whole library. A tokenizer of another kind encodes whole texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids[0]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens") or []
+        byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        plain_model = model.get("type") == "BPE" and not (model.get("dropout") or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+        fixed = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(map(str.isspace, t["content"])) for t in added)
+        self.in_units = bool(byte_level and plain_model and fixed and not spec.get("normalizer"))
+        self.added = [t["content"] for t in added]
+        if self.in_units:
+            # the same model behind a plain cut, for pieces that are already written in the bytes' names
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(BYTE_NAMES[11])
+            self.wide = np.zeros(max(model["vocab"].values()) + 1, np.int64)  # bytes of each token
+            for token, number in model["vocab"].items():
+                self.wide[number] = len(token)
+            self.pieces: dict[str, int] = {}
+            self.flat, self.start, self.length = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+            self.forget()
+
+    def forget(self) -> None:
+        """Keep the pieces that most calls use, half of the bound at most."""
+        keep, least = np.zeros(1, np.int64), 2
+        if self.pieces:
+            keep = np.flatnonzero(self.uses[: len(self.pieces)] >= least)
+            while len(keep) > CACHE_PIECES // 2:
+                least += 1
+                keep = np.flatnonzero(self.uses[: len(self.pieces)] >= least)
+            keep = np.union1d(keep, [0])
+        names = list(self.pieces) or [CUT]  # a cut has no ids
+        length, room = self.length[keep], max(1 << 12, 2 * len(keep))
+        flat = gathered(self.flat, self.start[keep], length)
+        self.pieces = {names[i]: at for at, i in enumerate(keep.tolist())}
+        self.others: dict[str, bytes] = {}
+        self.flat, self.used = np.concatenate([flat, np.zeros(max(1 << 16, len(flat)), "<u4")]), len(flat)
+        self.start, self.length, self.uses = (np.zeros(room, np.int64) for _ in range(3))
+        self.start[: len(keep)], self.length[: len(keep)] = np.cumsum(length) - length, length
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, straight from the library."""
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, fresh: list[str]) -> None:
+        """Ids of new pieces, by the library's model; where one ends follows from the widths of its tokens."""
+        first = len(self.pieces)
+        self.pieces.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        for at in range(0, len(fresh), 2000):
+            some = fresh[at : at + 2000]
+            named = "\x0b".join(some).encode().decode("latin-1").translate(BYTE_NAMES)
+            ids = np.array(self.model.encode_batch_fast([named], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.searchsorted(np.cumsum(self.wide[ids]), np.cumsum(list(map(len, named.split(BYTE_NAMES[11]))))) + 1
+            sizes = np.diff(ends, prepend=0)
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), "<u4")])
+            while first + at + len(some) > len(self.start):
+                self.start, self.length, self.uses = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length, self.uses))
+            own = slice(first + at, first + at + len(some))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.start[own], self.length[own] = self.used + ends - sizes, sizes
+            self.used += len(ids)
+
+    def by_pieces(self, joined: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of n units of PLAIN characters with CUT between them."""
+        pieces = PIECE.findall(joined)
+        place = np.array(list(map(self.pieces.get, pieces, repeat(-1))), np.int64)
+        missing = np.flatnonzero(place < 0).tolist()
+        if missing:
+            names = [pieces[i] for i in missing]
+            self.learn(list(dict.fromkeys(names)))
+            place[missing] = list(map(self.pieces.__getitem__, names))
+        begin = np.concatenate([[0], np.flatnonzero(place == 0) + 1])
+        if len(begin) != n:
+            raise ValueError("a unit holds the mark that parts units")
+        self.uses[place] += 1  # once for each, however often it occurs
+        lengths = self.length[place]
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        return gathered(self.flat, self.start[place], lengths), np.diff(np.append(total[begin], total[-1]))
+
+    def library(self, units: list[str]) -> list[bytes]:
+        """Ids of units of any characters, through the whole library."""
+        fresh = list(dict.fromkeys(u for u in units if u not in self.others))
+        self.others.update(zip(fresh, self.plain(fresh), strict=True))
+        return [self.others[u] for u in units]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; number of ids of each)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.in_units or not texts:
+            encoded = self.plain(texts)
+            return np.frombuffer(b"".join(encoded), "<u4"), np.array([len(e) // 4 for e in encoded], np.int64)
+        if len(self.pieces) > CACHE_PIECES or len(self.others) > CACHE_OTHERS:
+            self.forget()
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        edges = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        begin, end = edges[:-1] - edges[0], edges[1:] - edges[0]
+        coded = split.flatten().dictionary_encode()
+        distinct, unit = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        plain = pc.match_substring_regex(distinct, PLAIN)
+        for content in self.added:
+            plain = pc.and_not(plain, pc.match_substring(distinct, content))
+        easy = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        place = np.full(len(distinct), -1, np.int64)
+        place[easy] = np.arange(len(easy))
+        parts, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        if len(easy):
+            joined = pc.binary_join(pa.ListArray.from_arrays([0, len(easy)], distinct.take(pa.array(easy))), CUT + " ")[0].as_py()
+            ids, n = self.by_pieces(" " + joined, len(easy))
+            parts.append(ids), lengths.append(n)
+        # the rest: a text whose inner units have white space at their ends is joined again there
+        rest = {int(i): distinct[int(i)].as_py() for i in np.flatnonzero(place < 0)}
+        ragged = np.zeros(len(distinct), bool)
+        ragged[[i for i, u in rest.items() if not u or u[0].isspace() or u[-1].isspace()]] = True
+        odd = np.flatnonzero(np.logical_or.reduceat(ragged[unit], begin) & (end - begin > 1)).tolist()
+        sound = [i for i in rest if not ragged[i]]
+        again = [self.joined(texts[i]) for i in odd]
+        heads = [u.as_py() for u in distinct.take(pa.array(unit[begin]))]
+        for i, units in zip(odd, again, strict=True):
+            heads[i] = units[0]
+        extra = self.library([" " + rest[i] for i in sound] + heads + [" " + u for units in again for u in units[1:]])
+        parts.append(np.frombuffer(b"".join(extra), "<u4"))
+        lengths.append(np.fromiter(map(len, extra), np.int64, len(extra)) // 4)
+        place[sound] = len(easy) + np.arange(len(sound))
+        at = place[unit]
+        at[begin] = len(easy) + len(sound) + np.arange(len(texts))
+        if odd:
+            groups, free = np.split(at, begin[1:]), len(easy) + len(sound) + len(texts)
+            for i, units in zip(odd, again, strict=True):
+                groups[i] = np.append(groups[i][:1], np.arange(free, free + len(units) - 1))
+                free += len(units) - 1
+            at, end = np.concatenate(groups), np.cumsum([len(g) for g in groups])
+            begin = np.concatenate([[0], end[:-1]])
+        flat, size = np.concatenate(parts), np.concatenate(lengths)
+        return gathered(flat, (np.cumsum(size) - size)[at], size[at]), np.add.reduceat(size[at], begin)
 
     @staticmethod
-    def ragged(unit: str) -> bool:
-        return not unit or unit[0].isspace() or unit[-1].isspace()
-
-    def merged(self, units: list[str]) -> list[str]:
-        """Units joined again wherever the space between them is not a sure cut."""
-        out = [units[0]]
-        for u in units[1:]:
-            if not out[-1] or out[-1][-1].isspace() or not u or u[0].isspace():
+    def joined(text: str) -> list[str]:
+        """The units of a text cut only where the space is a sure cut."""
+        out: list[str] = []
+        for u in text.split(" "):
+            if out and (not out[-1] or out[-1][-1].isspace() or not u or u[0].isspace()):
                 out[-1] += " " + u
             else:
                 out.append(u)
         return out
 
-    def plain(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Those that neither start nor end in white space (but one space before)
-        and hold no SEPARATOR are encoded as one text with SEPARATOR between them, which is one id."""
-        joined = [i for i, t in enumerate(texts) if SEPARATOR not in t and t not in ("", " ") and not t[-1].isspace() and not t[t[0] == " "].isspace()]
-        out: list[bytes] = [b""] * len(texts)
-        alone = sorted(set(range(len(texts))) - set(joined))
-        for at in range(0, len(joined), 20_000):
-            part = joined[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([SEPARATOR.join([texts[i] for i in part])], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.separator)
-            if len(cuts) != len(part) - 1:
-                alone += part
-                continue
-            raw = ids.tobytes()
-            for i, a, b in zip(part, [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
-                out[i] = raw[a:b]
-        for i, e in zip(alone, self.tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, dtype="<u4").tobytes()
-        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-        cache = self.cache
-        split = [t.split(" ") for t in texts]
-        fresh = set(chain.from_iterable(split)).difference(cache)
-        ragged = {u for u in fresh if self.ragged(u)}
-        if ragged:
-            split = [s if ragged.isdisjoint(s) else self.merged(s) for s in split]
-            fresh = set(chain.from_iterable(s[1:] for s in split)).difference(cache)
-        fresh = list(fresh)
-        # A ragged unit is part of one text only and must not be taken for a cut elsewhere.
-        own = dict(zip(fresh, self.plain([" " + u for u in fresh]), strict=True))
-        cache.update(own if not ragged else ((u, b) for u, b in own.items() if not self.ragged(u)))
-        heads = self.plain([s[0] for s in split])
-        out = []
-        for head, s in zip(heads, split, strict=True):
-            try:
-                out.append(head + b"".join([cache[u] for u in s[1:]]))
-            except KeyError:
-                out.append(head + b"".join([cache[u] if u in cache else own[u] for u in s[1:]]))
-        return out
+def gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The pieces flat[start : start + length], one after the other."""
+    ends = np.cumsum(length)
+    source = np.repeat(start - (ends - length), length)
+    source += np.arange(len(source))
+    return flat[source]
 
 
 def pack(ids: bytes) -> bytes:
@@ -117,14 +240,19 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         end = struct.pack("<I", end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(at, DOCS_AT_ONCE)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                packed = [pack(ids + end) for ids in encoder.encode(texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            sizes = np.cumsum([len(t) for t in texts])
+            at = 0
+            while at < len(texts):
+                stop = min(at + DOCS_AT_ONCE, max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT_AT_ONCE))))
+                ids, lengths = encoder.encode(texts[at:stop])
+                raw, edges = memoryview(ids.tobytes()), (4 * np.concatenate([[0], np.cumsum(lengths)])).tolist()
+                packed = [pack(bytes(raw[a:b]) + end) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, stop - at), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+                at = stop
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, packed binary")
 

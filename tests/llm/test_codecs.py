@@ -1,4 +1,5 @@
 import io
+import random
 import math
 import zlib
 
@@ -97,10 +98,18 @@ def test_encoder_equals_the_library():
 
     path = public.path("byte_bpe_50k.json")
     texts = ["", " ", "  ", "a  b", " a", "a ", "x\n y", "a \nb", "it's  ok <|endoftext|> x", "a  b  c", "don 't 's", "é" * 900, "a\x0bb \x0b c", "\x1c a \x85b", "the the the"] * 2
-    encoder = tokens.Encoder(path)
-    found = encoder.encode(texts) + encoder.encode(texts[::-1])
-    plain = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts + texts[::-1], add_special_tokens=False)]
-    assert found == plain
+    mixed = random.Random(3)
+    signs = " ab1.'\n\t  éß×÷²ªµ\xa0\u3000中x’s\x1c\x85😀-_'s'll"
+    texts += ["".join(mixed.choice(signs) for _ in range(mixed.randint(0, 60))) for _ in range(3000)]
+    encoder, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert encoder.in_units
+    for part in ([], texts, texts[::-1], texts[:1] * 3):
+        ids, lengths = encoder.encode(part)
+        assert ids.tolist() == [i for e in library.encode_batch(part, add_special_tokens=False) for i in e.ids]
+        assert lengths.tolist() == [len(e.ids) for e in library.encode_batch(part, add_special_tokens=False)]
+    encoder.in_units = False  # a tokenizer of another kind goes through the library whole
+    ids, lengths = encoder.encode(texts[:20])
+    assert ids.tolist() == [i for e in library.encode_batch(texts[:20], add_special_tokens=False) for i in e.ids]
 
 
 @given(st.lists(st.text(alphabet="abAB \t\n.é", max_size=60), max_size=8), st.integers(1, 5))
