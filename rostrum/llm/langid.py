@@ -127,13 +127,13 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return Profiles(ranks)
 
 
-def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """All columns of `docs` with lang_pred and score; `docs` must not have columns of these names.
+def predict(docs: DataFrame, profiles: Profiles, text: str = "text", language: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of `docs` with the columns `language` and `score`, whose names `docs` must not have yet.
 
     A null text, or one without a letter, is `und` with score 0. Whole texts are read, one at a time.
     """
     at = docs.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{language}` string, `{score}` double"
 
     def run(batches):
         import pyarrow as pa
@@ -144,7 +144,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
                 part = batch.slice(start, 512)
                 found = [profiles.predict(t, letters) for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*part.schema.names, "lang_pred", "score"]
+                    [*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*part.schema.names, language, score]
                 )
 
     return docs.mapInArrow(run, schema)

@@ -19,25 +19,29 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents of a known language; those without a letter, or far from every profile, go."""
     from .langid import UNKNOWN, learn, predict
 
-    found = predict(docs, learn(docs))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    found = predict(docs, learn(docs), language="__language", score="__language_score")
+    return found.filter((F.col("__language") != UNKNOWN) & (F.col("__language_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id.
 
-    Five-word shingles, similarity 0.8. Where doc_ids are null or repeat, the first stored
-    document of each group stays.
+    Five-word shingles, similarity 0.8. A null doc_id comes last. Of rows with the same doc_id the
+    one whose text has the smallest digest stays, and any one of rows with the same text too.
     """
-    from .common import saved
+    from .common import ranked, saved
     from .neardup import near_duplicates
 
+    # without nulls and repeats the doc_ids are the order; else rows are numbered in it first
     odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
     if not odd:
         gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone"))
         return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
     rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    gone = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).filter("not kept").select(F.col("doc_id").alias("__gone"))
+    places = ranked(rows.select("__row", "doc_id", F.sha2("text", 256).alias("digest")), [F.asc_nulls_last("doc_id"), F.asc("digest"), F.asc("__row")], "place", "row-places").select("__row", "place")
+    places = saved(places, "row-order")
+    numbered = rows.select("__row", "text").join(places, "__row").select(F.col("place").alias("doc_id"), "text")
+    gone = near_duplicates(numbered).filter("not kept").join(places, F.col("doc_id") == F.col("place")).select(F.col("__row").alias("__gone"))
     return rows.join(gone, rows["__row"] == F.col("__gone"), "left_anti").drop("__row")
 
 

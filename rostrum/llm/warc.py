@@ -38,10 +38,10 @@ def base32_sha1(data: bytes) -> str:
 
 
 def field(value) -> str:
-    """A header field without spaces or control characters; `-` stands for none."""
+    """A header field: only spaces and control characters are escaped, so what was escaped before stays as it is; `-` stands for none."""
     if value is None or value == "":
         return "-"
-    return re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", str(value))
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", str(value))
 
 
 def member(data: bytes) -> bytes:

@@ -87,6 +87,49 @@ def test_language_of_repeated_keys_has_a_profile(spark):
     assert profiles.predict("ein kleiner satz", langid.alphabet()) == ("de", 1.0)
 
 
+def plain_grams(text):
+    """1- to 3-grams of lower-cased letters, with `_` for what stands between words."""
+    out = collections.Counter()
+    if not any(map(str.isalpha, text)):
+        return out
+    line = "".join(c.lower() if c.isalpha() else " " for c in text)
+    line = "_" + "_".join(line.split()) + "_"
+    for k in (1, 2, 3):
+        for i in range(len(line) - k + 1):
+            gram = line[i : i + k]
+            if gram != "_" and (k < 3 or gram[1] != "_"):
+                out[gram] += 1
+    return out
+
+
+def plain_ranked(counts):
+    code = {1: lambda g: g, 2: lambda g: g, 3: lambda g: g}
+    number = lambda g: sum((0 if c == "_" else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g)) | (1 << 62 if len(g) == 2 else 0)
+    return sorted(counts, key=lambda g: (-counts[g], number(code[len(g)](g))))[: langid.PROFILE]
+
+
+def test_language_equals_a_plain_version(spark, docs, rows):
+    learned = [(t, lang) for k, t, lang, *_ in rows if t is not None and lang and k is not None and zlib.crc32(str(k).encode()) % 3 != 1]
+    profiles = {}
+    for lang in {lang for _, lang in learned}:
+        total = collections.Counter()
+        for t, own in learned:
+            if own == lang:
+                total.update(plain_grams(t))
+        profiles[lang] = {g: r for r, g in enumerate(plain_ranked(total))}
+    want = collections.Counter()
+    for k, t, *_ in rows:
+        own = plain_ranked(plain_grams(t or ""))
+        far = {lang: sum(abs(p[g] - r) if g in p else langid.PROFILE for r, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get) if own else "und"
+        score = 1 - far[best] / (langid.PROFILE * len(own)) if own else 0.0
+        want[(k, k is not None and zlib.crc32(str(k).encode()) % 3 == 1, best, round(score, 9))] += 1
+    found = collections.Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in langid.identify(docs).collect())
+    assert found == want
+    long = spark.createDataFrame([(1, "thing wheel " * 200_000, "en")], "doc_id long, text string, lang string")
+    assert langid.predict(long, langid.learn(docs)).first()["lang_pred"] == "en"
+
+
 def test_rank_order_distance_by_hand():
     letters = langid.alphabet()
     codes, counts = langid.ngrams("Aa b", letters)
@@ -304,6 +347,22 @@ def test_pages(spark, least):
     assert warc.convert_pages(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_uris_are_escaped_once():
+    assert warc.field("http://h/a%20b c\t") == "http://h/a%20b%20c%09"
+
+
+def test_stages_with_clashing_columns_and_repeated_ids(spark, docs):
+    from rostrum.llm import stages
+
+    odd = docs.withColumn("score", F.lit(1)).withColumn("lang_pred", F.lit("x"))
+    assert stages.language_stage(spark, odd, "").columns == odd.columns
+    text = " ".join(f"w{i}" for i in range(60))
+    data = [(7, text + " a"), (7, text + " b"), (None, text), (9, text), (9, text), (3, "alone here")]
+    kept = stages.near_duplicate_stage(spark, spark.createDataFrame(data, "doc_id long, text string"), "").collect()
+    first = min((text + " a", text + " b"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert sorted(map(tuple, kept)) == [(3, "alone here"), (7, first)]
+
+
 def test_token_files(docs, empty, rows, monkeypatch):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
