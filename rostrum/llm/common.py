@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder named in spark.checkpoint.dir, or the context's own checkpoint folder.
+
+    Where neither is set, a local session (tests) gets a temporary one; on a cluster, whose machines
+    do not share such a folder, that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         used = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not used.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = used.get() if used.isDefined() else "file://" + tempfile.mkdtemp(prefix="rostrum-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -89,6 +95,16 @@ def hash_edge(rows: int, total: int) -> int:
     return -(1 << 63) + (1 << 64) * (2 * rows + 50) // total
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, salt: str, how: str = "inner", pieces: int = 16) -> DataFrame:
+    """`rows` joined with `table`, which has one short row for each `key`, where one key may have most rows.
+
+    Each row of `table` is repeated `pieces` times, and rows of a key are dealt by the hash of `salt`.
+    """
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(pieces)).cast("int"))
+    spread = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    return dealt.join(spread, [key, "__salt"], how).drop("__salt")
+
+
 def ranked(df: DataFrame, keys: list, rank: str, name: str, within: str | None = None) -> DataFrame:
     """`df` range-sorted by `keys` with a gapless 0-based `rank`, written to the shared folder.
 

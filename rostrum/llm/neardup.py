@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_scratch, ranked, saved
+from .common import components, drop_scratch, ranked, salted_join, saved
 from .shingles import Hasher, mix, stream
 
 SKETCH_BITS = 1024
@@ -168,7 +168,7 @@ def units_of(live: DataFrame) -> DataFrame:
     costs = homes.groupBy("component").agg(F.sum(F.col("m") * F.col("m")).alias("cost"))
     wide = groups.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
     kinds = costs.join(wide, "component").select("component", "nodes", (F.col("nodes") * F.col("nodes") <= F.col("cost")).alias("together"))
-    rows = live.join(homes, "key").join(kinds, "component")
+    rows = salted_join(live.join(homes, "key"), kinds, "component", "node")
     whole = F.col("together")
     return rows.select(
         whole.alias("whole"), F.when(whole, F.col("component")).otherwise(F.col("key")).alias("unit"), "node", "part", F.when(whole, F.col("nodes")).otherwise(F.col("m")).alias("m")
@@ -266,8 +266,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     named = nodes.select("same", "first", "node")
     named = named.join(parts, "node", "left").withColumn("component", F.coalesce("part", "node")).drop("part")
-    heads = nodes.select(F.col("node").alias("component"), F.col("first").alias("head"))
-    homes = named.join(heads, "component").select(F.col("same").alias("home"), "head")
+    tops = parts.select(F.col("part").alias("component")).distinct()
+    heads = nodes.select(F.col("node").alias("component"), F.col("first").alias("head")).join(tops, "component")
+    # a component may hold most nodes; nodes that link with none are their own head
+    homes = salted_join(named, heads, "component", "node", "left").select(F.col("same").alias("home"), F.when(F.col("component") == F.col("node"), F.col("first")).otherwise(F.col("head")).alias("head"))
     out = sig.select("doc_id", F.col("n").alias("n_shingles"), "same").join(homes, F.col("same") == F.col("home"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("head")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
