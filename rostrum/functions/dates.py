@@ -41,3 +41,20 @@ def party_on(day: Column, affiliations: Column, default: Column) -> Column:
     """Party of the first dated affiliation (array of start, end, party) that holds on a day, else `default`."""
     found = F.try_element_at(F.filter(affiliations, lambda a: (day >= a["start"]) & (day <= a["end"])), F.lit(1))
     return F.coalesce(found["party"], default)
+
+
+def last_complete_session(last_day: Column) -> Column:
+    """The last session whose rows reach 1 December of its second year."""
+    session = session_of(last_day)
+    end = F.make_date(F.year(session_start(session)) + 1, F.lit(12), F.lit(1))
+    return F.when(last_day >= end, session).otherwise(session - 1).cast("int")
+
+
+def incomplete_year(last_day: Column) -> Column:
+    """The year of the last day if it lies before 1 December, else null."""
+    return F.when(last_day < F.make_date(F.year(last_day), F.lit(12), F.lit(1)), F.year(last_day))
+
+
+def bin_labels(edges: list[int]) -> list[str]:
+    """`a-b` for whole-number bins [a, b + 1), and `a+` for one without an end."""
+    return [f"{a}-{b - 1}" if b is not None else f"{a}+" for a, b in zip(edges, [*edges[1:], None], strict=True)]

@@ -21,17 +21,22 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+"))
 
 
-def keyword_pattern(terms: list[str]) -> str:
-    """Whole words or phrases, longest first, any case; a space matches white space."""
+def keyword_pattern(terms: list[str], unicode: bool = False) -> str:
+    """Whole words or phrases, longest first, any case; a space matches white space. Words and case are ASCII's, or Unicode's on request."""
     ordered = sorted(set(terms), key=lambda t: (-len(t), t))
-    return r"(?i)\b(?:" + "|".join(r"\s+".join(re.escape(w) for w in t.split()) for t in ordered) + r")\b"
+    return ("(?iU)" if unicode else "(?i)") + r"\b(?:" + "|".join(r"\s+".join(re.escape(w) for w in t.split()) for t in ordered) + r")\b"
 
 
-def count_keywords(text: Column, terms: list[str], exclude: list[str] | None = None) -> Column:
+def blank(text: Column, exclude: list[str] | None, unicode: bool = False) -> Column:
+    """Whole-word matches of the patterns `exclude` as white space."""
+    if not exclude:
+        return text
+    return F.regexp_replace(text, ("(?iU)" if unicode else "(?i)") + r"\b(?:" + "|".join(exclude) + r")\b", " ")
+
+
+def count_keywords(text: Column, terms: list[str], exclude: list[str] | None = None, unicode: bool = False) -> Column:
     """Occurrences of terms after excluded phrases are blanked."""
-    if exclude:
-        text = F.regexp_replace(text, "(?i)" + "|".join(f"(?:{e})" for e in exclude), " ")
-    return F.regexp_count(text, F.lit(keyword_pattern(terms)))
+    return F.regexp_count(blank(text, exclude, unicode), F.lit(keyword_pattern(terms, unicode)))
 
 
 def keyword_hits(df: DataFrame, lists: dict[str, list[str]], text: str = "text") -> DataFrame:
@@ -121,3 +126,31 @@ def id_set_digest(df: DataFrame, column: str) -> DataFrame:
     h = F.xxhash64(column)
     return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(20,0)")).cast("string").alias("sum"))
 
+
+
+def surname_key(name: Column) -> Column:
+    """Upper-case letter tokens of a name without gaps."""
+    from ..operators.resolve import name_tokens
+
+    return F.array_join(name_tokens(name), "")
+
+
+def code_of(name: Column, codes: dict[str, str]) -> Column:
+    """The code of a folded name, or null; `codes` has folded names."""
+    table = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
+    return F.try_element_at(table, F.regexp_replace(F.trim(fold(name)), r"\s+", " "))
+
+
+def clean_record(text: Column, header: str, time_line: str, footers: list[str], page_marks: list[str]) -> Column:
+    """The body of a printed record: what comes after `header`, up to the first footer or to a rule line that no time line follows, without page marks.
+
+    All patterns are Java ones, with (?m) where lines matter.
+    """
+    rule = rf"(?m)^\s*_{{5,}}\s*$(?!\s*{time_line})"
+    body = F.regexp_replace(text, rf"(?s)\A.*?{header}", "")
+    return cut_and_strip(body, [*footers, rule], [*page_marks, rf"(?m)^\s*_{{5,}}\s*$", time_line])
+
+
+def keyword_table(spark, lists: dict[str, list[str]]) -> DataFrame:
+    """(list, place, term) rows of the keyword lists."""
+    return spark.createDataFrame([(name, i, t) for name, terms in lists.items() for i, t in enumerate(terms)], "list string, place int, term string")

@@ -35,8 +35,9 @@ def assert_domain(df: DataFrame, column: str, allowed: list) -> DataFrame:
 
 def missing_in_range(df: DataFrame, column: str) -> DataFrame:
     """Whole numbers between the smallest and the largest value that do not occur."""
-    ends = df.agg(F.min(column).alias("a"), F.max(column).alias("b")).filter("a is not null")
-    every = ends.select(F.explode(F.sequence("a", "b")).alias(column))
+    low, high = df.agg(F.min(column), F.max(column)).first()  # two numbers
+    kind = dict(df.dtypes)[column]
+    every = df.sparkSession.range(0 if low is None else int(low), 0 if high is None else int(high) + 1).select(F.col("id").cast(kind).alias(column))
     return every.join(df.select(column).distinct(), column, "left_anti")
 
 

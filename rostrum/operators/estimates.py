@@ -49,14 +49,13 @@ def cell_means(df: DataFrame, value: str, by: list[str], cluster: str) -> DataFr
     """
     v = F.col(value).cast("double")
     sums = known(df, [*by, cluster], [value]).groupBy(*by, cluster).agg(F.count(v).alias("__m"), F.sum(v).alias("__s"))
-    cells = sums.groupBy(*by).agg(
-        F.sum("__m").alias("n"), F.count(F.lit(1)).alias("n_clusters"), F.sum("__s").alias("__total"),
-        F.sum(F.col("__s") * F.col("__s")).alias("__ss"), F.sum(F.col("__s") * F.col("__m")).alias("__sm"), F.sum(F.col("__m") * F.col("__m")).alias("__mm"),
-    )
-    mean = F.col("__total") / F.col("n")
-    spread = F.greatest(F.col("__ss") - 2 * mean * F.col("__sm") + mean * mean * F.col("__mm"), F.lit(0.0))
-    se = F.when(F.col("n_clusters") > 1, F.sqrt(spread * F.try_divide(F.col("n_clusters"), F.col("n_clusters") - 1)) / F.col("n"))
-    return interval(cells.select(*by, mean.alias("mean"), se.alias("se"), "n", "n_clusters"), "mean")
+    cells = sums.groupBy(*by).agg(F.sum("__m").alias("n"), F.count(F.lit(1)).alias("n_clusters"), (F.sum("__s") / F.sum("__m")).alias("mean"))
+    # residuals are taken before they are squared: sums of squares far from zero would cancel
+    joined = sums.join(cells, by) if by else sums.crossJoin(cells)
+    residual = F.col("__s") - F.col("__m") * F.col("mean")
+    spread = joined.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("mean", "n", "n_clusters")], F.sum(residual * residual).alias("__ee"))
+    se = F.when(F.col("n_clusters") > 1, F.sqrt(F.col("__ee") * F.try_divide(F.col("n_clusters"), F.col("n_clusters") - 1)) / F.col("n"))
+    return interval(spread.select(*by, "mean", se.alias("se"), "n", "n_clusters"), "mean")
 
 
 def gap(cells: DataFrame, side: str, high: str, low: str, by: list[str]) -> DataFrame:

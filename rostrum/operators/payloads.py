@@ -49,9 +49,12 @@ def carried(rows: DataFrame, ids: DataFrame, key: str, run: str) -> DataFrame:
 
 
 def costs(rows: DataFrame, prices: DataFrame, model: str, prompt: str, answer: str) -> DataFrame:
-    """Tokens and cost by model at prices for a million tokens (prompt_price, answer_price); a model without a price is null."""
+    """Tokens and cost by model at prices for a million tokens (prompt_price, answer_price); a model without a price stops the query."""
     sums = rows.groupBy(model).agg(F.sum(prompt).alias("prompt_tokens"), F.sum(answer).alias("answer_tokens"))
-    return sums.join(prices, model, "left").withColumn("cost", (F.col("prompt_tokens") * F.col("prompt_price") + F.col("answer_tokens") * F.col("answer_price")) / 1e6).drop("prompt_price", "answer_price")
+    sums = sums.join(prices, model, "left")
+    unknown = F.raise_error(F.concat(F.lit("no price for "), F.coalesce(F.col(model), F.lit("a null model")))).cast("double")
+    sums = sums.withColumn("prompt_price", F.when(F.col("prompt_price").isNull() | F.col("answer_price").isNull(), unknown).otherwise(F.col("prompt_price")))
+    return sums.withColumn("cost", (F.col("prompt_tokens") * F.col("prompt_price") + F.col("answer_tokens") * F.col("answer_price")) / 1e6).drop("prompt_price", "answer_price")
 
 
 def check_resumable(manifest: dict, current: dict, keys: list[str]) -> None:

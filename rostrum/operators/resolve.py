@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import written
+
 
 def name_tokens(name: Column) -> Column:
     """Upper-case letter tokens of a name; hyphens part words."""
@@ -34,8 +36,8 @@ def resolved(pairs: DataFrame, unit: str, person: str, prefer: Column) -> DataFr
 def eliminate(pairs: DataFrame, unit: str, person: str, seat: list[str]) -> DataFrame:
     """(unit, person, round): fixpoint of assigning units whose only free candidate no other such unit of the seat wants.
 
-    Rounds are written to checkpoints when the session has a checkpoint folder; the number of rounds
-    is at most the largest number of candidates of a seat.
+    Each round is written to the shared folder; the number of rounds is at most the largest number
+    of candidates of a seat.
     """
     done, left, number = None, pairs.select(*seat, unit, person).distinct(), 0
     while True:
@@ -44,12 +46,11 @@ def eliminate(pairs: DataFrame, unit: str, person: str, seat: list[str]) -> Data
         single = left.withColumn("__n", size).filter("__n = 1").drop("__n")
         wanted = F.count(F.lit(1)).over(Window.partitionBy(*seat, person))
         new = single.withColumn("__w", wanted).filter("__w = 1").drop("__w").withColumn("round", F.lit(number))
-        if left.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            new = new.checkpoint()
+        new = written(new, "eliminated")
         if new.isEmpty():
             return done if done is not None else new.select(*seat, unit, person, "round")
         done = new if done is None else done.unionByName(new)
-        left = left.join(new.select(*seat, unit), [*seat, unit], "left_anti").join(new.select(*seat, person), [*seat, person], "left_anti")
+        left = written(left.join(new.select(*seat, unit), [*seat, unit], "left_anti").join(new.select(*seat, person), [*seat, person], "left_anti"), "left-over")
 
 
 def first_suffix(name: Column) -> Column:
@@ -65,14 +66,16 @@ def resolve_speaker(rows: DataFrame, terms: DataFrame, name: str, block: list[st
     the first name among the term's. A state that differs vetoes. Result: person, status
     (matched, no_candidate, ambiguous, state_mismatch).
     """
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
+    # what is found depends on these columns alone, so rows need no number of their own
+    asked = list(dict.fromkeys([name, *block, at, state]))
+    keyed = rows.select(*asked).distinct()
     split = keyed.withColumn("__s", F.explode(first_suffix(F.col(name)))).withColumn("__last", F.col("__s.last")).withColumn("__first", F.element_at(F.split("__s.first", " "), 1)).withColumn("__place", F.col("__s.place"))
-    own = terms.select(*block, F.col("last").alias("__last"), "firsts", F.col("state").alias("__state"), "start", "end", "person")
-    near = split.join(own, [*block, "__last"]).filter((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end")) & ((F.col("__place") == 1) | F.array_contains("firsts", F.col("__first"))))
-    best = near.groupBy("__row").agg(F.min("__place").alias("__best"))
-    kept = near.join(best, "__row").filter("__place = __best")
+    own = terms.select(*block, F.col("last").alias("__last"), "firsts", F.col("state").alias("__state"), F.col("start").alias("__start"), F.col("end").alias("__end"), F.col("person").alias("__person"))
+    near = split.join(own, [*block, "__last"]).filter((F.col(at) >= F.col("__start")) & (F.col(at) <= F.col("__end")) & ((F.col("__place") == 1) | F.array_contains("firsts", F.col("__first"))))
     agrees = F.col(state).isNull() | F.col("__state").isNull() | (F.col(state) == F.col("__state"))
-    found = kept.groupBy("__row").agg(F.count_distinct("person").alias("n"), F.count_distinct(F.when(agrees, F.col("person"))).alias("m"), F.min(F.when(agrees, F.col("person"))).alias("person"))
-    out = keyed.join(found, "__row", "left")
-    status = F.when(F.col("n").isNull(), "no_candidate").when(F.col("m") == 0, "state_mismatch").when(F.col("m") > 1, "ambiguous").otherwise("matched")
-    return out.withColumn("status", status).withColumn("person", F.when(F.col("status") == "matched", F.col("person"))).drop("__row", "n", "m")
+    people = near.groupBy(*asked, "__place").agg(F.count_distinct("__person").alias("__n"), F.count_distinct(F.when(agrees, F.col("__person"))).alias("__m"), F.min(F.when(agrees, F.col("__person"))).alias("__p"))
+    found = people.groupBy(*asked).agg(F.min_by(F.struct("__n", "__m", "__p"), "__place").alias("__f")).select(*[F.col(c).alias(f"__k_{c}") for c in asked], "__f")
+    same = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in asked]
+    out = rows.join(found, same, "left").drop(*[f"__k_{c}" for c in asked])
+    status = F.when(F.col("__f").isNull(), "no_candidate").when(F.col("__f.__m") == 0, "state_mismatch").when(F.col("__f.__m") > 1, "ambiguous").otherwise("matched")
+    return out.withColumn("status", status).withColumn("person", F.when(F.col("status") == "matched", F.col("__f.__p"))).drop("__f")

@@ -25,11 +25,19 @@ def interval_join(rows: DataFrame, spans: DataFrame, on: list[str], at: str, sta
 
 
 def last_before(rows: DataFrame, history: DataFrame, on: list[str], at: str, time: str, n: int, values: list[str]) -> DataFrame:
-    """Mean of `values` over the last n history rows of the key before `at`, for each distinct (key, at)."""
-    asked = rows.select(*on, at).distinct()
-    order = Window.partitionBy(*on, at).orderBy(F.desc(time))
-    near = asked.join(history, on).filter(F.col(time) < F.col(at)).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= n)
-    return near.groupBy(*on, at).agg(F.count(F.lit(1)).alias("n_before"), *[F.avg(v).alias(f"mean_{v}") for v in values])
+    """Mean of `values` over the last n history rows of the key before `at`, for each distinct (key, at) that has any.
+
+    History rows are numbered once in time, and each question counts those before it; the join is
+    on (key, number), so a key's whole history never meets its questions. Ties in `time` are broken by the values.
+    """
+    asked = rows.select(*on, F.col(at).alias("__t")).distinct().withColumn("__h", F.lit(0))
+    told = history.select(*on, F.col(time).alias("__t"), F.lit(1).alias("__h"))
+    before = Window.partitionBy(*on).orderBy("__t", "__h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = asked.unionByName(told).withColumn("__c", F.sum("__h").over(before)).filter("__h = 0 and __c > 0")
+    wanted = counted.withColumn("__i", F.explode(F.sequence(F.greatest(F.col("__c") - n + 1, F.lit(1).cast("long")), F.col("__c"))))
+    place = F.row_number().over(Window.partitionBy(*on).orderBy(time, *values)).cast("long")
+    numbered = history.select(*on, *dict.fromkeys([time, *values])).withColumn("__i", place).select(*on, "__i", *[F.col(v).alias(f"__v_{v}") for v in values])
+    return wanted.join(numbered, [*on, "__i"]).groupBy(*on, F.col("__t").alias(at)).agg(F.count(F.lit(1)).alias("n_before"), *[F.avg(f"__v_{v}").alias(f"mean_{v}") for v in values])
 
 
 def event_periods(rows: DataFrame, events: DataFrame, at: str, day: str, half_width: int, name: str) -> DataFrame:

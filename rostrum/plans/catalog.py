@@ -235,13 +235,22 @@ def holm_adjust(spark, sf_dir):
     return rounded(agreement.holm(rows.withColumn("o", F.struct("p", "k")).withColumn("p", F.col("p")), "p", ["f"]).select("f", "k", "p_holm"), 6)
 
 
-@query("""WITH c AS (SELECT l_linestatus, l_returnflag, count(*) FILTER (year(l_shipdate) = 1996) AS n0, count(*) FILTER (year(l_shipdate) = 1997) AS n1, avg(l_extendedprice) FILTER (year(l_shipdate) = 1996) AS m0, avg(l_extendedprice) FILTER (year(l_shipdate) = 1997) AS m1
- FROM lineitem WHERE year(l_shipdate) IN (1996, 1997) GROUP BY 1, 2), t AS (SELECT l_linestatus, sum(n0) AS t0, sum(n1) AS t1 FROM c GROUP BY 1),
-s AS (SELECT l_linestatus, l_returnflag, n0 / t0 AS s0, n1 / t1 AS s1, coalesce(m0, m1) AS m0, coalesce(m1, m0) AS m1 FROM c JOIN t USING (l_linestatus))
-SELECT l_linestatus, l_returnflag, round((s1 - s0) * (m0 + m1) / 2, 4) AS agenda, round((m1 - m0) * (s0 + s1) / 2, 4) AS positions, round(s1 * m1 - s0 * m0, 4) AS total FROM s""")
+CHANGE_SQL = """WITH c AS (SELECT l_linestatus AS g, l_returnflag AS k, count(*) FILTER (year(l_shipdate) = 1995) AS n0, count(*) FILTER (year(l_shipdate) IN (1996, 1997)) AS n1,
+ avg(l_extendedprice) FILTER (year(l_shipdate) = 1995) AS m0, avg(l_extendedprice) FILTER (year(l_shipdate) IN (1996, 1997)) AS m1 FROM lineitem WHERE year(l_shipdate) IN (1995, 1996, 1997) GROUP BY 1, 2),
+t AS (SELECT g, sum(n0) AS t0, sum(n1) AS t1, (sum(n0 * coalesce(m0, 0)) / sum(n0) + sum(n1 * coalesce(m1, 0)) / sum(n1)) / 2 AS centre FROM c GROUP BY 1),
+s AS (SELECT g, k, n0 / t0 AS s0, n1 / t1 AS s1, coalesce(m0, centre) AS m0, coalesce(m1, centre) AS m1, centre FROM c JOIN t USING (g)),
+p AS (SELECT g, k, ((m0 + m1) / 2 - centre) * (s1 - s0) AS agenda, (s0 + s1) / 2 * (m1 - m0) AS positions FROM s)
+"""
+
+
+def shipped(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem", "l_linestatus", "l_returnflag", "l_suppkey", "l_shipdate", "l_extendedprice").withColumn("y", F.year("l_shipdate"))
+
+
+@query(CHANGE_SQL + "SELECT g AS l_linestatus, k AS l_returnflag, round(agenda, 4) AS agenda, round(positions, 4) AS positions, round(agenda + positions, 4) AS total FROM p WHERE agenda IS NOT NULL")
 def gap_decomposition(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem", "l_linestatus", "l_returnflag", "l_shipdate", "l_extendedprice").withColumn("y", F.year("l_shipdate"))
-    return rounded(decompose.share_mean_change(rows, "l_extendedprice", "l_returnflag", "y", 1996, 1997, ["l_linestatus"]))
+    out = decompose.share_mean_change(shipped(spark, sf_dir), "l_extendedprice", "l_returnflag", "y", 1995, [1996, 1997], ["l_linestatus"])
+    return rounded(out.filter("agenda is not null"))
 
 
 @query("""WITH u AS (SELECT o_custkey AS u, year(o_orderdate) AS y, count(*) AS n, sum(o_totalprice) AS s FROM orders GROUP BY 1, 2),
@@ -251,13 +260,13 @@ t AS (SELECT y, sum(n0) AS n0, sum(s0) AS s0, sum(n1) AS n1, sum(s1) AS s1, sum(
 SELECT y::INT AS y, st::BIGINT AS stayers, ex::BIGINT AS exits, en::BIGINT AS entrants, round(s1 / n1 - s0 / n0, 3) AS change, round(q1 / p1 - q0 / p0, 3) AS within, round(s1 / n1 - q1 / p1, 3) AS entry, round(q0 / p0 - s0 / n0, 3) AS exit FROM t WHERE n0 IS NOT NULL AND n1 IS NOT NULL""")
 def turnover_steps(spark, sf_dir):
     rows = read(spark, sf_dir, "orders", "o_custkey", "o_orderdate", "o_totalprice").withColumn("y", F.year("o_orderdate"))
-    return rounded(decompose.turnover(rows, "o_custkey", "y", "o_totalprice", []), 3)
+    return rounded(decompose.turnover(rows, "o_custkey", "y", "o_totalprice", []).drop("unmatched"), 3)
 
 
 @query("""WITH r AS (SELECT l_returnflag AS g, l_linestatus AS s, round(l_quantity, 6) AS v FROM lineitem), t AS (SELECT g, count(*) FILTER (s = 'O') AS ta, count(*) FILTER (s = 'F') AS tb, quantile_cont(v, 0.5) FILTER (s = 'O') AS ma, quantile_cont(v, 0.5) FILTER (s = 'F') AS mb FROM r GROUP BY 1),
 c AS (SELECT g, v, count(*) FILTER (s = 'O') AS na, count(*) FILTER (s = 'F') AS nb FROM r GROUP BY 1, 2)
-SELECT g, round(sum(least(na / ta, nb / tb)), 6) AS overlap, round(sum(CASE WHEN (ma <= mb AND v > mb) OR (ma > mb AND v < mb) THEN na ELSE 0 END) / any_value(ta), 6) AS beyond_a,
- round(sum(CASE WHEN (ma <= mb AND v < ma) OR (ma > mb AND v > ma) THEN nb ELSE 0 END) / any_value(tb), 6) AS beyond_b, any_value(ma) AS median_a, any_value(mb) AS median_b FROM c JOIN t USING (g) WHERE ta > 0 AND tb > 0 GROUP BY 1""")
+SELECT g, round(sum(least(na / ta, nb / tb)), 6) AS overlap, round(sum(CASE WHEN v > mb THEN na ELSE 0 END) / any_value(ta), 6) AS beyond_a,
+ round(sum(CASE WHEN v < ma THEN nb ELSE 0 END) / any_value(tb), 6) AS beyond_b, any_value(ma) AS median_a, any_value(mb) AS median_b FROM c JOIN t USING (g) WHERE ta > 0 AND tb > 0 GROUP BY 1""")
 def common_ground_overlap(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus", "l_quantity").withColumnRenamed("l_returnflag", "g")
     return rounded(decompose.overlap(rows, "l_quantity", "l_linestatus", "O", "F", ["g"]).filter("median_a is not null and median_b is not null"), 6)
@@ -393,7 +402,7 @@ def name_token_counts(spark, sf_dir):
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH p AS (SELECT s_nationkey AS b, s_suppkey AS s, c_custkey AS c, abs(s_acctbal - c_acctbal) < 500 AS near FROM supplier JOIN customer ON c_nationkey = s_nationkey AND c_custkey % 7 = s_suppkey % 7),
+@query("""WITH p AS (SELECT s_nationkey AS b, s_suppkey AS s, c_custkey AS c, abs(s_acctbal - c_acctbal) < 500 AS near FROM supplier JOIN customer ON c_nationkey = s_nationkey),
 g AS (SELECT s, count(DISTINCT c) AS n, min(c) AS any_c, count(DISTINCT CASE WHEN near THEN c END) AS m, min(CASE WHEN near THEN c END) AS near_c FROM p GROUP BY 1)
 SELECT s, CASE WHEN n = 1 THEN any_c WHEN m = 1 THEN near_c END AS c, CASE WHEN n = 1 THEN 'unique' WHEN m = 1 THEN 'tie_break' ELSE 'ambiguous' END AS resolved_by, n::BIGINT AS n_candidates FROM g""")
 def tie_break_match(spark, sf_dir):
@@ -407,7 +416,7 @@ def json_properties(spark, sf_dir):
     return read(spark, sf_dir, "events", "event_id", "props").select("event_id", F.get_json_object("props", "$.page").alias("page"), F.get_json_object("props", "$.ref").alias("ref"))
 
 
-@query("""WITH y AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders WHERE o_custkey % 50 = 1) SELECT r.y::INT AS y FROM range((SELECT min(y) FROM y), (SELECT max(y) FROM y) + 1) r(y) WHERE r.y NOT IN (SELECT y FROM y)""")
+@query("""WITH y AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders) SELECT r.y::INT AS y FROM range((SELECT min(y) FROM y), (SELECT max(y) FROM y) + 1) r(y) WHERE r.y NOT IN (SELECT y FROM y)""")
 def dense_gap_check(spark, sf_dir):
     from ..operators.checks import missing_in_range
 
@@ -494,8 +503,8 @@ def fingerprint_guard(spark, sf_dir):
     return payloads.guard_first(rows, ["run"], "build", "event_id").groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.count_if("rejected").alias("rejected"))
 
 
-@query("""WITH t AS (SELECT event_type, sum(user_id)::BIGINT AS p, sum(event_id % 100)::BIGINT AS a FROM events GROUP BY 1) SELECT event_type, p AS prompt_tokens, a AS answer_tokens, CASE event_type WHEN 'click' THEN round((p * 0.5 + a * 1.5) / 1e6, 6) WHEN 'view' THEN round((p * 1.0 + a * 2.0) / 1e6, 6) END AS cost FROM t""")
+@query("""WITH t AS (SELECT event_type, sum(user_id)::BIGINT AS p, sum(event_id % 100)::BIGINT AS a FROM events GROUP BY 1) SELECT event_type, p AS prompt_tokens, a AS answer_tokens, round((p * CASE event_type WHEN 'click' THEN 0.5 ELSE 1.0 END + a * CASE event_type WHEN 'click' THEN 1.5 ELSE 2.0 END) / 1e6, 6) AS cost FROM t""")
 def token_costs(spark, sf_dir):
     rows = read(spark, sf_dir, "events", "event_type", "user_id", "event_id").withColumn("a", F.col("event_id") % 100)
-    prices = spark.createDataFrame([("click", 0.5, 1.5), ("view", 1.0, 2.0)], "event_type string, prompt_price double, answer_price double")
+    prices = spark.createDataFrame([("click", 0.5, 1.5), *[(kind, 1.0, 2.0) for kind in ("view", "signup", "purchase", "error")]], "event_type string, prompt_price double, answer_price double")
     return rounded(payloads.costs(rows, prices, "event_type", "user_id", "a"), 6)

@@ -14,16 +14,28 @@ def write_once(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write beside the target, then swap: a failed run leaves the old table as it was."""
+    """Write beside the target, then swap. The old table is set aside until the new one is in place.
+
+    A run that fails while it writes leaves the old table as it was; one that stops within the swap
+    leaves it at <path>.old, from where the next call puts it back first.
+    """
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.old")
     fs = old.getFileSystem(conf)
+    if fs.exists(aside):
+        if fs.exists(old):
+            fs.delete(aside, True)
+        elif not fs.rename(aside, old):
+            raise OSError(f"could not put {aside} back")
     fs.delete(new, True)
     df.write.parquet(f"{path}.new")
-    fs.delete(old, True)
+    if fs.exists(old) and not fs.rename(old, aside):
+        raise OSError(f"could not set {old} aside")
     if not fs.rename(new, old):
-        raise OSError(f"could not rename {new} to {old}")
+        raise OSError(f"could not rename {new} to {old}; the old table is at {aside}")
+    fs.delete(aside, True)
 
 
 def append_log(df: DataFrame, path: str) -> None:
