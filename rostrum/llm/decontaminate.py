@@ -1,25 +1,30 @@
-"""Benchmark decontamination over a distributed positional inverted index.
+"""Benchmark decontamination over a distributed positional inverted index of the training documents.
 
-The index is split by document: a segment holds whole documents, and for each test term the sorted
-places at which they use it. Segments are rows of a table in the shared folder, so a lost executor
-costs only its segments. A query intersects offset-adjusted lists within each segment, starting
-from a window's rarest term there; nothing is shuffled by term or document.
+The index is split by document: a segment holds whole documents, and for each of their terms the
+sorted places at which they use it. It knows nothing of any benchmark, is written once, and may be
+asked for any. Segments are rows of a table in the shared folder, so a lost executor costs only its
+segments. A query intersects offset-adjusted lists within each segment, starting from a window's
+rarest term there; nothing is shuffled by term or document.
+
+Terms are 64-bit hashes of words. Two of a billion different words share one with a chance of 3 %;
+a wrong match needs such a pair at the same place of two otherwise equal windows.
 """
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import AtomicFile, read_bytes, saved, scratch
+from .shingles import Hasher
 
 WINDOW = 10
 SEGMENT_BYTES = 12 << 20
 SEGMENT_DOCUMENTS = 16384
-#: Text of test items that one pass carries to the executors; larger benchmarks take several passes.
+#: Text of test items that a task holds at a time; larger benchmarks are several blocks.
 BLOCK_BYTES = 16 << 20
 POSITION_BITS = 36
 
@@ -31,17 +36,25 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
+def hashes(terms: list[bytes]) -> np.ndarray:
+    """The hash of each word."""
+    return Hasher(1).word_hashes(b" ".join(terms))[0]
+
+
 class Windows:
-    """Distinct windows of a block of test items, as term numbers."""
+    """Distinct windows of a block of test items, as term numbers; numbers follow the order of the terms' hashes."""
 
     def __init__(self, items: list[tuple], width: int = WINDOW):
-        numbers: dict[bytes, int] = {}
+        texts = [(item, words(text)) for item, text in items]
+        distinct = sorted({w for _, own in texts for w in own})
+        self.hashes, back = np.unique(hashes(distinct), return_inverse=True)
+        numbers = dict(zip(distinct, back.tolist(), strict=True))
         owners: dict[tuple, set] = {}
-        for item, text in items:
-            terms = [numbers.setdefault(w, len(numbers)) for w in words(text)]
+        for item, own in texts:
+            terms = [numbers[w] for w in own]
             for at in range(max(1, len(terms) - width + 1) if terms else 0):
                 owners.setdefault(tuple(terms[at : at + width]), set()).add(item)
-        self.numbers = numbers
+        self.count = len(self.hashes)
         self.length = np.array([len(w) for w in owners], dtype=np.int64)
         self.terms = np.full((len(owners), width), -1, dtype=np.int64)
         for row, w in enumerate(owners):
@@ -49,12 +62,21 @@ class Windows:
         self.owners = [sorted((i for i in s if i is not None), key=str) for s in owners.values()]
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str) -> list[list[tuple]]:
-    """Test items by blocks of bounded size."""
+def block_files(benchmark: DataFrame, item: str, text: str, width: int) -> list[str]:
+    """Windows of the test items by blocks of bounded size, as files in the shared folder.
+
+    The driver holds one block at a time.
+    """
+    folder = scratch(benchmark.sparkSession, "benchmark-windows")
     total = benchmark.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
     parts = max(1, -(-total // BLOCK_BYTES))
     rows = benchmark.filter(F.col(text).isNotNull()).select(F.col(item).alias("i"), F.col(text).alias("t"), F.pmod(F.xxhash64(text), F.lit(parts)).alias("b"))
-    return [[(r["i"], r["t"]) for r in rows.filter(F.col("b") == b).collect()] for b in range(parts)]
+    names = []
+    for b in range(parts):
+        names.append(f"{folder}/block-{b:06d}")
+        with AtomicFile(names[-1]) as out:
+            out.write(pickle.dumps(Windows([(r["i"], r["t"]) for r in rows.filter(F.col("b") == b).collect()], width)))
+    return names
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -71,49 +93,59 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8"))
 
 
-def build_index(docs: DataFrame, key: str, text: str, numbers: dict[bytes, int]) -> DataFrame:
-    """Segments (keys, lengths, postings) of all rows for the terms in `numbers`.
+def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Segments (keys, lengths, terms, ends, places) of all rows, for all their words.
 
-    A posting is term number << POSITION_BITS | place; documents lie one after the other in a
-    segment's places with a free place between, so that no match crosses documents. Null and
-    empty texts have length 0. `key` may be null or repeated.
+    terms: rising hashes; ends: where the places of each end; places: rising within a term. Documents lie one
+    after the other in a segment's places with a free place between, so that no match crosses
+    documents. Null and empty texts have length 0. `key` may be null or repeated.
     """
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
         import pyarrow as pa
 
-        arrow_kind = None
-        keys, lengths, found, base, size = [], [], [], 0, 0
-        get = numbers.get
+        hasher, arrow_kind = Hasher(1), None
+        keys, folded, size = [], [], 0
 
         def segment():
-            postings = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([keys], pa.list_(arrow_kind)), pa.array([lengths], pa.list_(pa.int64())), pa.array([pack(postings)], pa.binary())], ["keys", "lengths", "postings"]
-            )
+            found, starts = hasher.word_hashes(b" ".join(folded))
+            ends = np.searchsorted(starts, np.cumsum([len(f) + 1 for f in folded]))
+            lengths = np.diff(ends, prepend=0)
+            place = np.arange(len(found)) + np.repeat(np.arange(len(folded)), lengths)
+            order = np.argsort(found, kind="stable")
+            terms, counts = np.unique(found[order], return_counts=True)
+            # places fall where a new term begins; the differences wrap and come back in the sum
+            columns = [pa.array([keys], pa.list_(arrow_kind)), pa.array([lengths], pa.list_(pa.int64())), pa.array([pack(terms.view(np.int64))], pa.binary()), pa.array([pack(np.cumsum(counts))], pa.binary()), pa.array([pack(place[order])], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["keys", "lengths", "terms", "ends", "places"])
 
         for batch in batches:
             arrow_kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own = words(t)
-                    ids = np.array([get(w, -1) for w in own], dtype=np.int64)
-                    places = np.flatnonzero(ids >= 0)
-                    if len(places):
-                        found.append((ids[places] << POSITION_BITS) | (places + base))
                     keys.append(k)
-                    lengths.append(len(own))
-                    base += len(own) + 1
-                    size += len(t or "")
+                    folded.append(t.encode("utf-8", "surrogatepass").translate(FOLD) if t else b"")
+                    size += len(folded[-1])
                     if size >= SEGMENT_BYTES or len(keys) >= SEGMENT_DOCUMENTS:
                         yield segment()
-                        keys, lengths, found, base, size = [], [], [], 0, 0
+                        keys, folded, size = [], [], 0
         if keys:
             yield segment()
 
-    return docs.select(key, text).mapInArrow(run, f"keys array<{kind}>, lengths array<long>, postings binary")
+    return docs.select(key, text).mapInArrow(run, f"keys array<{kind}>, lengths array<long>, terms binary, ends binary, places binary")
+
+
+def postings_of(terms: np.ndarray, ends: np.ndarray, places: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """number << POSITION_BITS | place of the wanted terms (rising hashes) in a segment, rising."""
+    at = np.searchsorted(terms, wanted)
+    at[at == len(terms)] = 0
+    there = np.flatnonzero(terms[at] == wanted) if len(terms) else np.zeros(0, np.int64)
+    stop = ends[at[there]]
+    start = np.where(at[there] > 0, ends[at[there] - 1], 0)
+    count = stop - start
+    source = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    return (np.repeat(there, count) << POSITION_BITS) | places[source]
 
 
 def contains(postings: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -124,7 +156,7 @@ def contains(postings: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def phrase_matches(postings: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
     """(window, first place) of all exact occurrences in a segment."""
-    n = len(windows.numbers)
+    n = windows.count
     edges = np.searchsorted(postings, np.arange(n + 1, dtype=np.int64) << POSITION_BITS)
     count = np.diff(edges)
     terms = windows.terms
@@ -152,7 +184,7 @@ def phrase_matches(postings: np.ndarray, windows: Windows) -> tuple[np.ndarray,
 
 def near_matches(postings: np.ndarray, windows: Windows, slop: int, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window, place of its rarest term) where every term lies, as often as in the window, within length - 1 + slop places of that place, in any order and the same document."""
-    n = len(windows.numbers)
+    n = windows.count
     edges = np.searchsorted(postings, np.arange(n + 1, dtype=np.int64) << POSITION_BITS)
     count = np.diff(edges)
     out = [], []
@@ -175,11 +207,12 @@ def near_matches(postings: np.ndarray, windows: Windows, slop: int, starts: np.n
     return np.concatenate(out[0] or [np.zeros(0, np.int64)]), np.concatenate(out[1] or [np.zeros(0, np.int64)])
 
 
-def search(index: DataFrame, windows: Windows, item_kind: str, slop: int | None = None) -> DataFrame:
-    """Rows (key, n_words, spans, items) of all documents of the index.
+def search(index: DataFrame, blocks: list[str], item_kind: str, slop: int | None = None) -> DataFrame:
+    """Rows (key, n_words, spans, items) of all documents of the index, against the windows in all `blocks`.
 
     spans: merged [start, end) word ranges covered by matches; items: the test items matched. With
-    `slop`, matches are near ones, and a span is the place of the rarest term.
+    `slop`, matches are near ones, and a span is the place of the rarest term. A task holds one
+    block and a batch of segments at a time.
     """
     kind = dict(index.dtypes)["keys"][6:-1]
     schema = f"key {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<{item_kind}>"
@@ -187,35 +220,36 @@ def search(index: DataFrame, windows: Windows, item_kind: str, slop: int | None
     def run(batches):
         import pyarrow as pa
 
+        name = held = None
         for batch in batches:
-            for keys, lengths, packed in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                lengths = np.array(lengths.values.to_numpy(zero_copy_only=False), dtype=np.int64)
-                starts = np.cumsum(lengths + 1) - lengths - 1
-                postings = unpack(packed.as_py())
-                if slop is None:
-                    which, place = phrase_matches(postings, windows)
-                    length = windows.length[which]
-                else:
-                    which, place = near_matches(postings, windows, slop, starts, lengths)
-                    length = np.ones(len(which), np.int64)
-                doc = np.searchsorted(starts, place, side="right") - 1
-                spans, items = {}, {}
-                for i in np.lexsort((place, doc)):
-                    d, a = int(doc[i]), int(place[i] - starts[doc[i]])
-                    b = a + int(length[i])
-                    own = spans.setdefault(d, [])
-                    if own and a <= own[-1]["end"]:
-                        own[-1]["end"] = max(own[-1]["end"], b)
+            lengths = [np.array(x.values.to_numpy(zero_copy_only=False), dtype=np.int64) for x in batch.column(1)]
+            found: list[list] = [[] for _ in lengths]
+            items: list[dict] = [{} for _ in lengths]
+            for block in blocks:
+                if block != name:
+                    name, held = block, pickle.loads(read_bytes(block))
+                for i, (terms, ends, places) in enumerate(zip(batch.column(2), batch.column(3), batch.column(4), strict=True)):
+                    starts = np.cumsum(lengths[i] + 1) - lengths[i] - 1
+                    postings = postings_of(unpack(terms.as_py()).view(np.uint64), unpack(ends.as_py()), unpack(places.as_py()), held.hashes)
+                    if slop is None:
+                        which, place = phrase_matches(postings, held)
+                        length = held.length[which]
                     else:
-                        own.append({"start": a, "end": b})
-                    items.setdefault(d, set()).update(windows.owners[which[i]])
-                n = len(lengths)
+                        which, place = near_matches(postings, held, slop, starts, lengths[i])
+                        length = np.ones(len(which), np.int64)
+                    doc = np.searchsorted(starts, place, side="right") - 1
+                    found[i].append(np.stack([doc, place - starts[doc], place - starts[doc] + length]) if len(doc) else np.zeros((3, 0), np.int64))
+                    for d, w in set(zip(doc.tolist(), which.tolist(), strict=True)):
+                        items[i].setdefault(d, set()).update(held.owners[w])
+            for i, keys in enumerate(batch.column(0)):
+                spans = spans_by_document(np.concatenate(found[i], axis=1))
+                n = len(lengths[i])
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys.values,
-                        pa.array(lengths),
+                        pa.array(lengths[i]),
                         pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                        pa.array([sorted(items.get(d, ()), key=str) for d in range(n)], pa.list_(arrow_type(item_kind))),
+                        pa.array([sorted(items[i].get(d, ()), key=str) for d in range(n)], pa.list_(arrow_type(item_kind))),
                     ],
                     ["key", "n_words", "spans", "items"],
                 )
@@ -223,6 +257,18 @@ def search(index: DataFrame, windows: Windows, item_kind: str, slop: int | None
     return index.mapInArrow(run, schema)
 
 
+def spans_by_document(found: np.ndarray) -> dict[int, list[dict]]:
+    """Overlapping and touching ranges (document, start, end) as one, by document."""
+    out: dict[int, list[dict]] = {}
+    for d, a, b in found[:, np.lexsort((found[1], found[0]))].T.tolist():
+        own = out.setdefault(d, [])
+        if own and a <= own[-1]["end"]:
+            own[-1]["end"] = max(own[-1]["end"], b)
+        else:
+            own.append({"start": a, "end": b})
+    return out
+
+
 def arrow_type(kind: str):
     import pyarrow as pa
 
@@ -236,34 +282,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     item id covers words but is not listed. Null texts have no words; repeated rows are kept.
     """
     item_kind = dict(benchmark.dtypes)[item]
-    blocks = blocks_of(benchmark, item, item_text)
-    keyed = docs.select(F.col(key).alias("key") if len(blocks) == 1 else F.sha2(text, 256).alias("key"), F.col(text).alias("text"))
-    found = []
-    for block in blocks:
-        windows = Windows(block, width)
-        found.append(search(saved(build_index(keyed, "key", "text", windows.numbers), "positional-index"), windows, item_kind, slop))
-    if len(found) == 1:
-        return found[0]
-    # Several passes: what is found depends on the text alone, so the passes meet by its hash.
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    joined = out.groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    joined = joined.select(F.col("key").alias("__hash"), "n_words", merged(F.array_sort("spans")).alias("spans"), "items")
-    rows = docs.select(F.col(key).alias("key"), F.sha2(text, 256).alias("__own"))
-    return rows.join(joined, F.col("__own").eqNullSafe(F.col("__hash"))).select("key", "n_words", "spans", "items")
-
-
-def merged(spans):
-    """Overlapping ranges of a sorted array as one."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def step(out, s):
-        last = F.element_at(out, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when((F.size(out) > 0) & (s["start"] <= F.try_element_at(out, F.lit(-1))["end"]), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(out, F.array(s)))
-
-    return F.aggregate(spans, empty, step)
+    keyed = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    index = saved(build_index(keyed, "key", "text"), "positional-index")
+    return search(index, block_files(benchmark, item, item_text, width), item_kind, slop)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:

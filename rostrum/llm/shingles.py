@@ -32,6 +32,8 @@ class Hasher:
 
     def word_hashes(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(hash, start) of each word of a folded text: a polynomial over random byte values, mixed with its length."""
+        if not data:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         raw = np.frombuffer(data, np.uint8)
         edge = np.diff(np.concatenate([[True], self.space[raw], [True]]).astype(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
