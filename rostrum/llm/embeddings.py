@@ -2,12 +2,12 @@
 
 Each vector belongs to the cells of its OVERLAP nearest centres (fitted on a bounded sample), so
 most vectors that link share a cell. Each cell builds a robust-pruned graph; the adjacency lists
-of all cells are united; in each cell a greedy search from its medoids finds every vector's
-surroundings, then expands over all vectors in range. A brute-force audit of some vectors of each
-cell widens the search until it finds all their links there, what it misses of other vectors is
-added by comparison within the cell, and cosines are verified in double precision. So each cell
-has all its links, and one that lies in several counts in the first. Vectors that share no cell are compared all with all, in blocks; only what the angles to a block's centre rule out is
-left out.
+of all cells are united; in each cell a greedy search from its medoids and from the query's own
+node finds every vector's surroundings, then expands over all vectors in range. A brute-force audit
+of some vectors of each cell widens the search until it finds RECALL of their links. An exact check
+follows: double-precision cosines within each cell, and of vectors that share no cell all with all,
+in blocks, where only what the angles to a block's centre rule out is left out. So every link
+counts once, and `recall` tells what share of them the search alone finds.
 """
 
 from __future__ import annotations
@@ -29,11 +29,14 @@ LARGEST = 12_000  # members of a cell, with its overlap, above which it gets mor
 REFINEMENTS = 4
 DEGREE = 24
 CANDIDATES = 64
+BACK = 4  # edges of each node that lead back to it
 ALPHA = 1.2
 BEAM = 32
 MEDOIDS = 4
 QUERIES = 256
+WIDEST = 256
 AUDIT = 64
+RECALL = 0.99
 PAIRS = 100_000
 BLOCK = 2048  # vectors of one nearest centre that are compared at once with those of another
 RUN = 16  # blocks that a row of work compares with one
@@ -121,6 +124,19 @@ def build(x: np.ndarray) -> np.ndarray:
     return np.concatenate([prune(x, np.arange(i, min(n, i + 256)), wide[i : i + 256]) for i in range(0, n, 256)])
 
 
+def neighbours(graph: np.ndarray) -> list[np.ndarray]:
+    """Each node's list: its own edges, and edges back to the nodes that count it among their BACK first.
+
+    Pruning alone leaves nodes of dense groups that no list names; so each is named by some.
+    """
+    n = len(graph)
+    source, target = np.repeat(np.arange(n), BACK), graph[:, :BACK].ravel()
+    source, target = source[target >= 0], target[target >= 0]
+    order = np.argsort(target, kind="stable")
+    back = np.split(source[order], np.searchsorted(target[order], np.arange(1, n)))
+    return [np.union1d(g[g >= 0], b) for g, b in zip(graph, back, strict=True)]
+
+
 def medoids(x: np.ndarray) -> np.ndarray:
     """Entry points: the rows nearest to the means of a few slices."""
     groups = centres_of(x[: 64 * MEDOIDS], MEDOIDS)
@@ -136,7 +152,7 @@ def cosines(x: np.ndarray, q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entries: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, other row) with cosine >= threshold: greedy from `entries`, then expanding over the range."""
+    """(query, other row) with cosine >= threshold: greedy from `entries` and the query's own node, then expanding over the range."""
     m, n = len(queries), len(x)
     seen = np.zeros((m, n), bool)
     top_node = np.full((m, beam), -1, np.int64)
@@ -156,7 +172,7 @@ def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entries: np.nd
         hits.append((row[near], node[near], value[near]))
         return row, node, value
 
-    row, node, value = visit(np.repeat(np.arange(m), len(entries)), np.tile(entries, m))
+    row, node, value = visit(np.concatenate([np.repeat(np.arange(m), len(entries)), np.arange(m)]), np.concatenate([np.tile(entries, m), queries]))
     while True:
         # merge what was visited into each query's beam
         if len(row):
@@ -199,28 +215,28 @@ def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entries: np.nd
     return row[linked], node[linked]
 
 
-def cell_links(x: np.ndarray, graph: np.ndarray, own: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All links (row, other row) of the rows `own`, in blocks.
+def cell_links(x: np.ndarray, graph: np.ndarray, own: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All links (row, other row, whether the graph search finds it) of the rows `own`, in blocks.
 
-    The beam is widened until the audit finds every link; links that the search of other rows still
-    misses are added by comparison with all rows.
+    The beam is widened until the audit finds RECALL of its rows' links, WIDEST at most; links that
+    the search still misses are added by the exact check that follows.
     """
     entries, beam = medoids(x), BEAM
     audit = own[:: max(1, len(own) // AUDIT)][:AUDIT]
     truth = (x[audit] @ x.T >= threshold) & (np.arange(len(x)) != audit[:, None])
-    while beam < len(x):
+    while beam < min(WIDEST, len(x)):
         found = np.zeros_like(truth)
         found[search(x, graph, audit, entries, threshold, beam)] = True
-        if (found | ~truth).all():
+        if (found & truth).sum() >= RECALL * truth.sum():
             break
         beam *= 2
     for at in range(0, len(own), QUERIES):
         q = own[at : at + QUERIES]
-        links = (x[q] @ x.T >= threshold) & (np.arange(len(x)) != q[:, None])
-        if beam < len(x):  # else the graph fails its audit at any width
-            links[search(x, graph, q, entries, threshold, beam)] = True
-        row, node = np.nonzero(links)
-        yield q[row], node
+        searched = np.zeros((len(q), len(x)), bool)
+        searched[search(x, graph, q, entries, threshold, beam)] = True
+        # the exact check: what the search finds, and what it misses
+        row, node = np.nonzero(searched | (x[q] @ x.T >= threshold) & (np.arange(len(x)) != q[:, None]))
+        yield q[row], node, searched[row, node]
 
 
 def reach(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
@@ -267,8 +283,11 @@ def matrix(values) -> np.ndarray:
     return unit(np.stack([np.asarray(v, dtype=np.float64) for v in values]))
 
 
-def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95) -> DataFrame:
-    """key, n_links, component_id, kept of every row of `vectors`.
+def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, recall: bool = False) -> DataFrame:
+    """key, n_links, component_id, kept of every row of `vectors`; with `recall`, n_searched too.
+
+    n_searched counts those links that the graph search finds without the exact check that follows,
+    so its sum over that of n_links is the recall of the search over the whole table.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as
     do vectors of different lengths. Equal vectors are one node while searching and count one link
@@ -320,11 +339,11 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
     def graph_of(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
-        ids, graph = frame["node"].to_numpy(), build(matrix(frame["v"]))
-        return pd.DataFrame({"node": ids, "near": [ids[g[g >= 0]] for g in graph]})
+        ids = frame["node"].to_numpy()
+        return pd.DataFrame({"node": ids, "near": [ids[own] for own in neighbours(build(matrix(frame["v"])))]})
 
     lists = members.repartition(parts, "dim", "cell").groupBy("dim", "cell").applyInPandas(graph_of, "node long, near array<long>")
-    # a list has DEGREE entries for each cell of its node
+    # a list has DEGREE entries for each cell of its node, and those of nodes near it
     united = saved(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
 
     def links_of(frame: pd.DataFrame) -> pd.DataFrame:
@@ -335,24 +354,28 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         for i, own in enumerate(lists):
             graph[i, : len(own)] = own
         copies, cells, here = frame["copies"].to_numpy(), np.stack(frame["cells"]), frame["cell"].iloc[0]
-        count, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for a, b in cell_links(x, graph, np.arange(len(ids)), threshold):
+        count, hits, label = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for a, b, searched in cell_links(x, graph, np.arange(len(ids)), threshold):
             first = first_common(cells[a], cells[b]) == here  # a link counts in one of the cells that both ends share
             np.add.at(count, a[first], copies[b[first]])
+            np.add.at(hits, a[first & searched], copies[b[first & searched]])
             # join the components of this block's links with those so far
             label = local_components(len(ids), np.concatenate([np.arange(len(ids)), a]), np.concatenate([label, b]))
-        return pd.DataFrame({"node": ids, "links": count, "head": ids[label]})
+        return pd.DataFrame({"node": ids, "links": count, "hits": hits, "head": ids[label]})
 
-    near = members.join(united, "node").repartition(parts, "dim", "cell").groupBy("dim", "cell").applyInPandas(links_of, "node long, links long, head long")
-    near = saved(near, "cell-links").unionByName(saved(links_apart(members, threshold), "apart-links"))
+    near = members.join(united, "node").repartition(parts, "dim", "cell").groupBy("dim", "cell").applyInPandas(links_of, "node long, links long, hits long, head long")
+    near = saved(near, "cell-links").unionByName(saved(links_apart(members, threshold).withColumn("hits", F.lit(0).cast("long")), "apart-links"))
+    for done in (cells, united):
+        drop_scratch(done)
     part = components(near.select(F.col("node").alias("a"), F.col("head").alias("b")))
-    counts = near.groupBy("node").agg(F.sum("links").alias("others"))
-    named = nodes.join(counts, "node").withColumn("links", F.col("others") + F.col("copies") - 1).join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counts = near.groupBy("node").agg(F.sum("links").alias("others"), F.sum("hits").alias("hits"))
+    named = nodes.join(counts, "node").withColumn("links", F.col("others") + F.col("copies") - 1).withColumn("hits", F.col("hits") + F.col("copies") - 1).join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = named.groupBy("component").agg(F.min("first").alias("head"))
-    homes = named.join(heads, "component").select(F.col("v").alias("home"), "links", "head")
+    homes = named.join(heads, "component").select(F.col("v").alias("home"), "links", "hits", "head")
     out = rows.join(homes, F.col("fine") & (F.col("v") == F.col("home")), "left")
     component = F.when(F.col("fine"), F.col("head")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    found = [F.coalesce("hits", F.lit(0)).cast("long").alias("n_searched")] if recall else []
+    return out.select(F.col("key").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), *found)
 
 
 def links_apart(members: DataFrame, threshold: float) -> DataFrame:
