@@ -47,6 +47,12 @@ def drop_scratch(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of scratch files that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI or local path."""
     from pyarrow import fs

@@ -259,10 +259,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     few = live.filter(F.col("m") <= SMALL_BUCKET)
     other = few.select("key", F.col("node").alias("other"), F.col("part").alias("other_part"))
     pairs = few.join(other, "key").filter("part <> other_part and node < other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    links = links.unionByName(saved(confirmed(pairs, sketches, sets, percent, samples), "links"))
+    more = saved(confirmed(pairs, sketches, sets, percent, samples), "links")
     units = saved(units_of(live.filter(F.col("m") > SMALL_BUCKET).drop("m")), "units")
-    links = links.unionByName(saved(block_links(units, sets, percent), "links"))
-    parts = components(links).withColumnRenamed("component", "part")
+    most = saved(block_links(units, sets, percent), "links")
+    for done in (buckets, sketches, sets, live, units):
+        drop_scratch(done)
+    parts = components(links.unionByName(more).unionByName(most)).withColumnRenamed("component", "part")
+    for done in (links, more, most):
+        drop_scratch(done)
 
     named = nodes.select("same", "first", "node")
     named = named.join(parts, "node", "left").withColumn("component", F.coalesce("part", "node")).drop("part")

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import AtomicFile, filesystem, read_bytes, saved, scratch
+from .common import AtomicFile, drop_scratch, filesystem, read_bytes, saved, scratch
 
 BLOCK_TOKENS = 1 << 20
-CACHE_PIECES = 600_000
+CACHE_PIECES = 500_000
 CACHE_OTHERS = 100_000
 DOCS_AT_ONCE = 4096
 TEXT_AT_ONCE = 4 << 20  # characters
@@ -380,4 +380,6 @@ def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFr
     folder = scratch(docs.sparkSession, "token-ids")
     tokens = saved(tokenise(docs, tokenizer_path, end_id), "tokens")
     table = rans.Table.fit(count_ids(tokens))
-    return read_ids(write_ids(tokens, folder, table), folder)
+    blocks = write_ids(tokens, folder, table)
+    drop_scratch(tokens)
+    return read_ids(blocks, folder)

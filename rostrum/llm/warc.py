@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, filesystem, saved, scratch
+from .common import AtomicFile, drop_path, filesystem, saved, scratch
 
 RECORDS_PER_ARCHIVE = 2000
 
@@ -275,5 +275,6 @@ def convert_pages(spark: SparkSession, pages: DataFrame, revisit_min_bytes: int
     folder = scratch(spark, "archives")
     arcs = write_arc(pages, folder + "/arc")
     warcs = convert_arc(arcs, folder + "/warc", revisit_min_bytes)
+    drop_path(spark, folder + "/arc")
     page = lambda c: F.expr(f"try_cast({c} as long)")
     return warc_index(warcs).select(page("location").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_location").alias("refers_to"))
