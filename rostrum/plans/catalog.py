@@ -395,7 +395,7 @@ def drop_accounting(spark, sf_dir):
     return panels.drop_reasons(read(spark, sf_dir, "orders", "o_orderdate", "o_totalprice"), rules).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH t AS (SELECT p_partkey AS k, unnest(regexp_split_to_array(upper(p_name), '[^A-Z]+')) AS t FROM part WHERE p_partkey <= 10000000), a AS (SELECT DISTINCT k, t FROM t WHERE t <> ''), c AS (SELECT t, count(*) AS n FROM a GROUP BY 1)
+@query("""WITH t AS (SELECT p_partkey AS k, unnest(regexp_split_to_array(upper(p_name), '[^A-Z]+')) AS t FROM part), a AS (SELECT DISTINCT k, t FROM t WHERE t <> ''), c AS (SELECT t, count(*) AS n FROM a GROUP BY 1)
 SELECT t AS token, n::BIGINT AS n FROM c""")
 def name_token_counts(spark, sf_dir):
     rows = read(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", F.explode(F.array_distinct(resolve.name_tokens(F.translate("p_name", "#0123456789_", " "*12)))).alias("token"))
