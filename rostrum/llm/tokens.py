@@ -21,7 +21,7 @@ BLOCK_TOKENS = 1 << 20
 CACHE_PIECES = 500_000
 CACHE_OTHERS = 100_000
 DOCS_AT_ONCE = 4096
-TEXT_AT_ONCE = 4 << 20  # characters
+TEXT_AT_ONCE = 8 << 20  # characters
 #: Parts units that are encoded together; no unit that PLAIN matches holds it.
 CUT = "\u0100"
 #: Units whose pre-tokenization PIECE gives: printable ASCII, Latin-1 letters and newlines within.
@@ -219,13 +219,14 @@ def gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
     return flat[source]
 
 
-def pack(ids: bytes) -> bytes:
+def pack(ids: bytes, compressor=None) -> bytes:
     """32-bit ids as zstd: 16 bits each where they fit."""
     import zstandard
 
+    compressor = compressor or zstandard.ZstdCompressor(level=1)
     wide = np.frombuffer(ids, "<u4")
     narrow = len(wide) == 0 or wide.max() < 1 << 16
-    return bytes([int(narrow)]) + zstandard.ZstdCompressor(level=1).compress(wide.astype("<u2").tobytes() if narrow else ids)
+    return bytes([int(narrow)]) + compressor.compress(wide.astype("<u2").tobytes() if narrow else ids)
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -239,8 +240,9 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id and packed ids (with `end_id` last) of every row; null text counts as empty."""
     def run(batches):
         import pyarrow as pa
+        import zstandard
 
-        encoder = encoder_of(tokenizer_path)
+        encoder, compressor = encoder_of(tokenizer_path), zstandard.ZstdCompressor(level=1)
         end = struct.pack("<I", end_id)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -250,7 +252,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 stop = min(at + DOCS_AT_ONCE, max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT_AT_ONCE))))
                 ids, lengths = encoder.encode(texts[at:stop])
                 raw, edges = memoryview(ids.tobytes()), (4 * np.concatenate([[0], np.cumsum(lengths)])).tolist()
-                packed = [pack(bytes(raw[a:b]) + end) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                packed = [pack(bytes(raw[a:b]) + end, compressor) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, stop - at), pa.array(packed, pa.binary())], ["doc_id", "packed"])
                 at = stop
 
