@@ -33,6 +33,49 @@ def resolved(pairs: DataFrame, unit: str, person: str, prefer: Column) -> DataFr
     return per.select(unit, match.alias(person), how.alias("resolved_by"), "n_candidates")
 
 
+def resolved_near(units: DataFrame, persons: DataFrame, block: str, unit: str, person: str, unit_value: str, person_value: str, radius: float) -> DataFrame:
+    """What `resolved` returns for all pairs of a block where values less than `radius` apart are preferred, without the pairs.
+
+    Candidates are counted for each set of blocks that a unit has, so persons of several blocks count
+    once. Whether one person alone is near is told by the nearest value on either side of the unit's
+    and the nearest one beyond it that another person has: windows over the sorted values of a block.
+    """
+    persons = persons.select(F.col(block).alias("__b"), F.col(person).alias("__p"), F.col(person_value).alias("__v")).filter("__b is not null")
+    units = units.select(F.col(block).alias("__b"), F.col(unit).alias("__u"), F.col(unit_value).alias("__v")).filter("__b is not null")
+
+    sets = persons.groupBy("__p").agg(F.sort_array(F.collect_set("__b")).alias("__t")).groupBy("__t").agg(F.count("__p").alias("__k"), F.min("__p").alias("__any"))
+    homes = units.groupBy("__u").agg(F.sort_array(F.collect_set("__b")).alias("__s"))
+    met = homes.select("__s").distinct().withColumn("__b", F.explode("__s")).join(sets.withColumn("__b", F.explode("__t")), "__b")
+    counts = met.drop("__b").distinct().groupBy("__s").agg(F.sum("__k").alias("n_candidates"), F.min("__any").alias("__any"))
+
+    # one row for each value of a block: its least and largest person
+    values = persons.filter("__p is not null and __v is not null").groupBy("__b", "__v").agg(F.min("__p").alias("__low"), F.max("__p").alias("__high"))
+    rows = values.withColumn("__u", F.lit(None).cast(units.schema["__u"].dataType)).withColumn("__asks", F.lit(False)).unionByName(units.distinct().withColumn("__asks", F.lit(True)), allowMissingColumns=True)
+    at = F.when(~F.col("__asks"), F.struct("__v", "__low", "__high"))
+    for side, order in (("below", F.asc("__v")), ("above", F.desc("__v"))):
+        w = Window.partitionBy("__b").orderBy(order, "__asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = F.last(at, True).over(Window.partitionBy("__b").orderBy(order, "__asks").rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("__near", before)
+        # the nearest value, this one included, of another person than this value's least; null where it is that of the value before
+        new = F.when(F.col("__low") != F.col("__high"), F.col("__v")).when((F.col("__near.__low") != F.col("__low")) | (F.col("__near.__high") != F.col("__low")), F.col("__near.__v"))
+        rows = rows.withColumn("__new", F.when(~F.col("__asks"), new)).withColumn(f"__{side}_next", F.last("__new", True).over(w)).withColumnRenamed("__near", f"__{side}").drop("__new")
+    asked = rows.filter("__asks")
+
+    def near(value):
+        return F.abs(F.col("__v") - F.col(value)) < radius
+
+    sides = ("__below", "__above")
+    found = [F.when(near(f"{s}.__v"), F.col(f"{s}.__low")) for s in sides]
+    more = [F.coalesce(near(f"{s}_next") & near(f"{s}.__v"), F.lit(False)) for s in sides]
+    per = asked.groupBy("__u").agg(F.min(F.least(*found)).alias("__least"), F.max(F.greatest(*found)).alias("__most"), F.max(more[0] | more[1]).alias("__more"))
+    one = (F.col("__least") == F.col("__most")) & ~F.col("__more")
+
+    out = homes.join(counts, "__s").join(per.withColumnRenamed("__u", "__w"), F.col("__u").eqNullSafe(F.col("__w")))
+    match = F.when(F.col("n_candidates") == 1, F.col("__any")).when(one, F.col("__least"))
+    how = F.when(F.col("n_candidates") == 1, "unique").when(one, "tie_break").otherwise("ambiguous")
+    return out.select(F.col("__u").alias(unit), match.alias(person), how.alias("resolved_by"), "n_candidates")
+
+
 def eliminate(pairs: DataFrame, unit: str, person: str, seat: list[str]) -> DataFrame:
     """(unit, person, round): fixpoint of assigning units whose only free candidate no other such unit of the seat wants.
 

@@ -407,8 +407,8 @@ g AS (SELECT s, count(DISTINCT c) AS n, min(c) AS any_c, count(DISTINCT CASE WHE
 SELECT s, CASE WHEN n = 1 THEN any_c WHEN m = 1 THEN near_c END AS c, CASE WHEN n = 1 THEN 'unique' WHEN m = 1 THEN 'tie_break' ELSE 'ambiguous' END AS resolved_by, n::BIGINT AS n_candidates FROM g""")
 def tie_break_match(spark, sf_dir):
     s, c = read(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_acctbal"), read(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_acctbal")
-    pairs = s.join(c, F.col("c_nationkey") == F.col("s_nationkey")).withColumnsRenamed({"s_suppkey": "s", "c_custkey": "c"})
-    return resolve.resolved(pairs, "s", "c", F.abs(F.col("s_acctbal") - F.col("c_acctbal")) < 500)
+    s, c = s.withColumnsRenamed({"s_suppkey": "s", "s_nationkey": "nation"}), c.withColumnsRenamed({"c_custkey": "c", "c_nationkey": "nation"})
+    return resolve.resolved_near(s, c, "nation", "s", "c", "s_acctbal", "c_acctbal", 500)
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.ref') AS ref FROM events""")

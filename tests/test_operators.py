@@ -1,6 +1,7 @@
 """Hand-computed cases of the library's operators."""
 
 import math
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -284,3 +285,28 @@ def test_dense_gap_check_reads_all_orders(spark, tmp_path):
     orders = [(1, "1994-05-01"), (51, "1996-05-01"), (2, "1995-01-01"), (3, "1999-12-31"), (4, "1992-01-01")]
     spark.createDataFrame(orders, "o_custkey long, o_orderdate string").withColumn("o_orderdate", F.to_date("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
     assert rows(catalog.dense_gap_check(spark, str(tmp_path))) == [(1993,), (1997,), (1998,)]
+
+
+def test_resolved_near_is_resolved_without_pairs(spark):
+    nan, inf = float("nan"), float("inf")
+    values = [None, nan, inf, -inf, 0.0, 0.1, 500.0, 500.1, -500.0, 499.99999999999994, 1000.0, 1800.5, 2300.25, 4000.0]
+    # units and persons of several blocks, repeated, without key, block or value
+    units = spark.createDataFrame([(None if i % 37 == 0 else i % 31, None if i % 23 == 0 else i % 7, values[i * i % 14]) for i in range(120)], "u long, b int, x double")
+    persons = spark.createDataFrame([(None if i % 19 == 0 else i % 17, None if i % 13 == 0 else i * i % 11, values[(i * 5 + 3) % 14]) for i in range(40)] + [(99, 6, 900.0), (98, 20, 1.0)], "p long, b int, y double")
+    want = rows(resolve.resolved(units.join(persons, "b"), "u", "p", F.abs(F.col("x") - F.col("y")) < 500).select(F.coalesce("u", F.lit(-1)), F.coalesce("p", F.lit(-1)), "resolved_by", "n_candidates"))
+    got = rows(resolve.resolved_near(units, persons, "b", "u", "p", "x", "y", 500).select(F.coalesce("u", F.lit(-1)), F.coalesce("p", F.lit(-1)), "resolved_by", "n_candidates"))
+    assert got == want and {w[2] for w in want} >= {"tie_break", "ambiguous"}
+
+
+def test_tie_break_match_makes_no_row_for_each_pair(spark, tmp_path):
+    # one nation, 5,000 suppliers and 400,000 customers: 2,000 million pairs
+    spark.range(5_000).select(F.col("id").alias("s_suppkey"), F.lit(1).alias("s_nationkey"), (F.col("id") * 2000.0).alias("s_acctbal")).write.parquet(f"{tmp_path}/supplier.parquet")
+    near_first = F.when(F.col("id") == 0, 100.0).otherwise(F.col("id") + 3000.0)
+    spark.range(400_000).select(F.col("id").alias("c_custkey"), F.lit(1).alias("c_nationkey"), near_first.alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        found = {r["s"]: (r["c"], r["resolved_by"], r["n_candidates"]) for r in catalog.tie_break_match(spark, str(tmp_path)).collect()}
+    finally:
+        late.cancel()
+    assert len(found) == 5_000 and found[0] == (0, "tie_break", 400_000) and found[1] == (None, "ambiguous", 400_000)
