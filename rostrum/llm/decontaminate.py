@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import AtomicFile, read_bytes, saved, scratch
-from .shingles import Hasher
+from .shingles import PIECE_BYTES, Hasher
 
 WINDOW = 10
 SEGMENT_BYTES = 12 << 20
@@ -83,8 +83,10 @@ def pack(values: np.ndarray) -> bytes:
     """Sorted integers as compressed differences."""
     import zstandard
 
-    steps = np.diff(values, prepend=0)
-    return zstandard.ZstdCompressor(level=1).compress(steps.astype("<i8").tobytes())
+    steps = np.empty(len(values), "<i8")
+    steps[:1] = values[:1]
+    np.subtract(values[1:], values[:-1], out=steps[1:])
+    return zstandard.ZstdCompressor(level=1).compress(steps)
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -107,16 +109,31 @@ def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         hasher, arrow_kind = Hasher(1), None
         keys, folded, size = [], [], 0
+        hashed, counted, waiting = [], [], 0  # of the documents whose text is let go
+
+        def hash_words():
+            nonlocal folded, waiting
+            if folded:
+                found, starts = hasher.word_hashes(b" ".join(folded))
+                ends = np.searchsorted(starts, np.cumsum([len(f) + 1 for f in folded]))
+                hashed.append(found)
+                counted.append(np.diff(ends, prepend=0))
+            folded, waiting = [], 0
 
         def segment():
-            found, starts = hasher.word_hashes(b" ".join(folded))
-            ends = np.searchsorted(starts, np.cumsum([len(f) + 1 for f in folded]))
-            lengths = np.diff(ends, prepend=0)
-            place = np.arange(len(found)) + np.repeat(np.arange(len(folded)), lengths)
+            nonlocal hashed, counted
+            hash_words()
+            found, lengths = np.concatenate(hashed), np.concatenate(counted)
+            hashed, counted = [], []
             order = np.argsort(found, kind="stable")
-            terms, counts = np.unique(found[order], return_counts=True)
+            found = found[order]
+            new = np.flatnonzero(found[1:] != found[:-1]) + 1
+            terms = found[np.concatenate([np.zeros(min(1, len(found)), np.int64), new])]
+            ends = np.append(new, len(found)) if len(found) else new
+            del found
+            order += np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[order]  # now the places
             # places fall where a new term begins; the differences wrap and come back in the sum
-            columns = [pa.array([keys], pa.list_(arrow_kind)), pa.array([lengths], pa.list_(pa.int64())), pa.array([pack(terms.view(np.int64))], pa.binary()), pa.array([pack(np.cumsum(counts))], pa.binary()), pa.array([pack(place[order])], pa.binary())]
+            columns = [pa.array([keys], pa.list_(arrow_kind)), pa.array([lengths], pa.list_(pa.int64())), pa.array([pack(terms.view(np.int64))], pa.binary()), pa.array([pack(ends)], pa.binary()), pa.array([pack(order)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["keys", "lengths", "terms", "ends", "places"])
 
         for batch in batches:
@@ -127,6 +144,9 @@ def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
                     keys.append(k)
                     folded.append(t.encode("utf-8", "surrogatepass").translate(FOLD) if t else b"")
                     size += len(folded[-1])
+                    waiting += len(folded[-1])
+                    if waiting >= PIECE_BYTES:
+                        hash_words()
                     if size >= SEGMENT_BYTES or len(keys) >= SEGMENT_DOCUMENTS:
                         yield segment()
                         keys, folded, size = [], [], 0

@@ -1,14 +1,16 @@
 import io
 import random
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rostrum.llm import rans, sharding, tokens, warc
+from rostrum.llm import decontaminate, rans, sharding, shingles, tokens, warc
 from rostrum.llm.eliasfano import EliasFano
 from rostrum.llm.neardup import banding
 from rostrum.llm.shingles import Hasher
@@ -141,3 +143,38 @@ def test_long_words_hash_like_short_ones():
     assert found[0] == found[2] and len(set(found.tolist())) == 3
     many, _ = hasher.word_hashes(b" ".join([b"z" * 80] * 100 + [b"x" * 5000]))
     assert many[-1] == found[0] and zlib.crc32(b"") == 0
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 5000])
+def test_pieces_hash_like_the_whole(monkeypatch, piece):
+    text = b"  a bc " + b"x" * 9000 + b" d\tefg\n" + b" ".join(b"w%d" % i for i in range(900)) + b"   "
+    want = Hasher(1).word_hashes(text)
+    monkeypatch.setattr(shingles, "PIECE_BYTES", piece)
+    found = Hasher(1).word_hashes(text)
+    assert len(want[0]) == 905 and all((f == w).all() for f, w in zip(found, want, strict=True))
+    assert not len(Hasher(1).word_hashes(b" " * 50)[0]) and not len(Hasher(1).word_hashes(b"")[0])
+
+
+def test_a_segment_of_the_index_takes_little_memory():
+    class Documents:
+        dtypes = [("k", "bigint")]
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802  a DataFrame's method
+            return run
+
+    words = np.random.default_rng(1).integers(0, 50_000, 2_300_000).astype(str)  # about 13 MB
+    texts = [" ".join(words[i : i + 2300]) for i in range(0, len(words), 2300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["k", "t"])
+    run = decontaminate.build_index(Documents(), "k", "t")
+    tracemalloc.start()
+    try:
+        segments = [(s.column(1)[0].as_py(), s.column(4)[0].as_py()) for s in run([batch])]
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert sum(len(lengths) for lengths, _ in segments) == 1000 and sum(map(sum, (lengths for lengths, _ in segments))) == len(words)
+    assert sum(len(decontaminate.unpack(places)) for _, places in segments) == len(words)
+    assert peak < 120, peak
